@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, secrets, simhash
+from . import bpe, langid, secrets, simhash
+
+#: Where the public vocabularies lie; a parameter of the operators that tokenize.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +29,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = bpe.vocabulary(tokenizer_path())
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_near_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_near_dedup, op7_bpe_round_trip, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.SCAN_SQL}
