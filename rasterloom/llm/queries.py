@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets, simhash
+from . import bpe, langid, packing, secrets, simhash
 
 #: Where the public vocabularies lie; a parameter of the operators that tokenize.
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary(tokenizer_path())))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = bpe.vocabulary(tokenizer_path())
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
@@ -40,5 +44,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_near_dedup, op7_bpe_round_trip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_near_dedup, op6_packing, op7_bpe_round_trip, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.SCAN_SQL}
