@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, secrets, simhash
+from . import bpe, html, langid, packing, secrets, simhash, urls
 
 #: Where the public vocabularies lie; a parameter of the operators that tokenize.
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,9 +44,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_near_dedup, op6_packing, op7_bpe_round_trip, op9_language_id)}
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.SCAN_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_main_text, op3_simhash_near_dedup, op6_packing, op7_bpe_round_trip, op8_url_filter, op9_language_id)}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.SCAN_SQL, "op8_url_filter": urls.judge_sql()}
