@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Characters of text whose words share one dictionary.
-CHUNK = 12_000_000
+CHUNK = 8_000_000
 #: Input bytes for each part that dictionaries are dealt out in, and the bounds of that number.
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 8_000_000, 16, 4096
 #: Documents whose positions travel in one row.

@@ -35,6 +35,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of some MB, so that long texts do not add up to large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, where a lost executor cannot take it."""
     shared_dir(df.sparkSession)

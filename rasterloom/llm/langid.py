@@ -85,8 +85,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", F.col("lang").alias("as_lang")).distinct()
+    labelled = rows.select("id", "lang")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("held")).limit(65)  # languages are few: more than 64 fail below
+    likely = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1.5 * sample + 100) / F.col("held") * (1 << 30)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
+    chosen = labelled.join(F.broadcast(counts), "lang").where(likely).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", F.col("lang").alias("as_lang")).distinct()
     same = (F.col("id") == F.col("as_id")) & (F.col("lang") == F.col("as_lang"))
     learned = rows.join(chosen.withColumnRenamed("id", "as_id"), same, "left_semi")
     fold = folding()

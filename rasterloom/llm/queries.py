@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, packing, secrets, simhash, urls
+from . import bpe, embedding_dedup, html, langid, packing, secrets, simhash, topk, urls
+from .common import bound_batches
 
 #: Where the public vocabularies lie; a parameter of the operators that tokenize.
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +19,7 @@ def tokenizer_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +35,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary(tokenizer_path())))
 
@@ -52,5 +58,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_main_text, op3_simhash_near_dedup, op6_packing, op7_bpe_round_trip, op8_url_filter, op9_language_id)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_html_main_text,
+        op3_simhash_near_dedup,
+        op4_exact_top_k,
+        op6_packing,
+        op7_bpe_round_trip,
+        op8_url_filter,
+        op9_language_id,
+        op10_embedding_near_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.SCAN_SQL, "op8_url_filter": urls.judge_sql()}
