@@ -27,6 +27,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: An n-gram goes to a language where it is at least this share as frequent as anywhere.
 SHARE = 0.3
 UNKNOWN = "und"
+#: Texts of this many characters and a lower score than this are in no learned language.
+SURE, LEAST_SCORE = 50, 0.25
 #: Characters looked up at a time.
 BLOCK = 1 << 20
 
@@ -163,6 +165,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that are in no learned language; a null label is filled in.
+
+    A row goes if its prediction is ``und``, or if it has :data:`SURE` characters or more and a
+    score below ``least``: shorter texts have too few n-grams to be judged by their share.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(text_at)]
+            said = [_judge(t, shared.value) for t in texts]
+            stays = [lang != UNKNOWN and (score >= least or len(t) < SURE) for (lang, score), t in zip(said, texts)]
+            given = [g.as_py() or lang for g, (lang, _) in zip(batch.column(lang_at), said)]
+            yield batch.set_column(lang_at, lang_col, pa.array(given, pa.string())).filter(pa.array(stays, pa.bool_()))
+
+    return docs.withColumn(lang_col, F.col(lang_col).cast("string")).mapInArrow(keep, docs.withColumn(lang_col, F.col(lang_col).cast("string")).schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` with filters fitted on the training fold of ``docs``."""
     found = predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)

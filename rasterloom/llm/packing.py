@@ -40,9 +40,11 @@ _SETTLED = re.compile("[\x00-\x1b\x20-ɏ‐-‧‰-⁞€]*")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoder(definition: str) -> Callable[[str], np.ndarray]:
+def encoder(definition: str, ordinary: bool = False) -> Callable[[str], np.ndarray]:
     """Encodes whole texts as the tokenizers library does with this byte-level BPE definition.
 
+    ``ordinary``: special tokens' strings in a text are text like any other.
+
     The merges run in the faster of two libraries with one vocabulary; a text with a special
     token in it or with characters whose class depends on a Unicode version goes to the other.
     """
@@ -51,13 +53,14 @@ def encoder(definition: str) -> Callable[[str], np.ndarray]:
     exact = Tokenizer.from_str(definition)
     exact.no_truncation()
     exact.no_padding()
+    exact.encode_special_tokens = ordinary
     ranks = {piece: i for i, piece in enumerate(pieces_of(definition)) if piece and piece.decode("utf-8", "replace") not in special}
     fast = tiktoken.Encoding("packing", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if _SETTLED.fullmatch(text) and not any(s in text for s in special):
+        if _SETTLED.fullmatch(text) and (ordinary or not any(s in text for s in special)):
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
         return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html, langid, packing, secrets, simhash, topk, urls
-from .common import bound_batches
+from . import bpe, embedding_dedup, html, langid, packing, secrets, simhash, tokens, topk, urls
+from .common import bound_batches, shared_path
 
 #: Where the public vocabularies lie; a parameter of the operators that tokenize.
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,12 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition, folder = bpe.vocabulary(tokenizer_path()), shared_path(spark, "tokens")
+    written = tokens.write_tokens(table(spark, sf_dir, "documents"), definition, folder)
+    return tokens.document_tokens(tokens.count_tokens(spark, folder, tokens.end_of(definition), tokens.width(definition)), written)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary(tokenizer_path())))
 
@@ -69,6 +75,7 @@ QUERIES = {
         op2_html_main_text,
         op3_simhash_near_dedup,
         op4_exact_top_k,
+        op5_token_counts,
         op6_packing,
         op7_bpe_round_trip,
         op8_url_filter,

@@ -168,9 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the row whose id names the component.
 
-    Rows with a null id are kept, as they cannot be told apart. Of rows that repeat an id, all
-    stay if the id names its component.
+    Rows that repeat both id and text are one. Rows with a null id are kept, as nothing names them.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    found = docs.join(keep, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return found.unionByName(docs.where(F.col(id_col).isNull()))
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return named.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
