@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from rasterloom.functions import point
 from rasterloom.operators import kernels, pixels
-from rasterloom.plans import rasters
+from rasterloom.plans import pages, rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def _ink(frame: DataFrame, threshold: int = 128) -> DataFrame:
     return frame.where(F.col("v") < threshold).select("img", "y", "x")
 
 
-B, G, R, V = F.col("b"), F.col("g"), F.col("r"), F.col("v")
+_bgr = lambda: (F.col("b"), F.col("g"), F.col("r"))  # noqa: E731  columns need a session, so not before a query runs
 _GRAY = "(b * 1868 + g * 9617 + r * 4899 + 8192) >> 14"
 _LEVEL = "CAST(floor(least(greatest({}, 0.0::DOUBLE), 255.0::DOUBLE)) AS INT)"
 
@@ -58,19 +58,19 @@ add(
 add("black_point_manual", "r1", lambda d: pixels.boost_black(d, 40), "SELECT img, y, x, " + _LEVEL.format("(v - 40) * 255.0::DOUBLE / 215") + " AS v FROM r1")
 add("ink_coverage", "r1", lambda d: pixels.ink_coverage(d).select("img", F.round("pct", 6).alias("pct")), "SELECT img, round(100.0::DOUBLE * count(*) FILTER (v < 128) / count(*), 6) AS pct FROM r1 GROUP BY 1")
 add("gray_histogram", "r1", pixels.histogram, "SELECT img, v, count(*) AS n FROM r1 GROUP BY 1, 2")
-add("bgr_to_gray", "r2", lambda d: d.select("img", "y", "x", point.gray(B, G, R).alias("v")), f"SELECT img, y, x, CAST({_GRAY} AS INT) AS v FROM r2")
-add("synthetic_channel", "r2", lambda d: d.select("img", "y", "x", point.synthetic_channel(B, G, R).alias("v")), f"SELECT img, y, x, CAST(least(({_GRAY}) + 4 * greatest(b - r, 0), 255) AS INT) AS v FROM r2")
+add("bgr_to_gray", "r2", lambda d: d.select("img", "y", "x", point.gray(*_bgr()).alias("v")), f"SELECT img, y, x, CAST({_GRAY} AS INT) AS v FROM r2")
+add("synthetic_channel", "r2", lambda d: d.select("img", "y", "x", point.synthetic_channel(*_bgr()).alias("v")), f"SELECT img, y, x, CAST(least(({_GRAY}) + 4 * greatest(b - r, 0), 255) AS INT) AS v FROM r2")
 _HSV = (
     "t AS (SELECT *, greatest(b, g, r) AS top, greatest(b, g, r) - least(b, g, r) AS span FROM r2), u AS (SELECT *, CASE WHEN span = 0 THEN 0.0::DOUBLE WHEN r = top THEN 60.0::DOUBLE * (g - b) / span "
     "WHEN g = top THEN 120.0::DOUBLE + 60.0::DOUBLE * (b - r) / span ELSE 240.0::DOUBLE + 60.0::DOUBLE * (r - g) / span END AS turn FROM t), "
     "hsv AS (SELECT *, CAST(floor(CASE WHEN turn < 0 THEN turn + 360 ELSE turn END / 2 + 0.5) AS INT) % 180 AS h, CASE WHEN top = 0 THEN 0 ELSE CAST(floor(255.0::DOUBLE * span / top + 0.5) AS INT) END AS s FROM u)"
 )
-add("bgr_to_hsv", "r2", lambda d: d.select("img", "y", "x", point.hsv(B, G, R).alias("c")).select("img", "y", "x", "c.h", "c.s", "c.v"), _HSV + " SELECT img, y, x, h, s, top AS v FROM hsv")
+add("bgr_to_hsv", "r2", lambda d: d.select("img", "y", "x", point.hsv(*_bgr()).alias("c")).select("img", "y", "x", "c.h", "c.s", "c.v"), _HSV + " SELECT img, y, x, h, s, top AS v FROM hsv")
 add("blue_excess", "r2", lambda d: d.groupBy("img").agg(F.round(F.avg("b") - F.avg("r"), 6).alias("excess")).withColumn("blue_grid", F.col("excess") > 5), "SELECT img, round(avg(b) - avg(r), 6) AS excess, round(avg(b) - avg(r), 6) > 5 AS blue_grid FROM r2 GROUP BY 1")
 
 
 def _color_ink(d: DataFrame) -> DataFrame:
-    band = d.select("img", "y", "x", point.color_ink_band(B, G, R).cast("int").alias("v"))
+    band = d.select("img", "y", "x", point.color_ink_band(*_bgr()).cast("int").alias("v"))
     return pixels.shape_extreme(band, kernels.ellipse(1), "max", 8, 8)
 
 
@@ -82,13 +82,13 @@ add(
     _color_ink,
     _HSV + f", q AS (SELECT img, y, x, CAST({_BANDS} AS INT) AS v FROM hsv) SELECT a.img, a.y, a.x, max(s.v) AS v FROM q a, {_CROSS}, q s WHERE s.img = a.img AND s.y = a.y + dy AND s.x = a.x + dx GROUP BY 1, 2, 3",
 )
-add("mask_invert", "r1", lambda d: d.select("img", "y", "x", point.invert(V).alias("v")), "SELECT img, y, x, 255 - v AS v FROM r1")
-add("brightness_shift", "r1", lambda d: d.select("img", "y", "x", point.shift_brightness(V, -12.5).alias("v")), "SELECT img, y, x, " + _LEVEL.format("v - 12.5::DOUBLE") + " AS v FROM r1")
-add("unit_scale", "r1", lambda d: d.select("img", "y", "x", F.round(V / 255.0, 6).alias("u"), point.to_level(V / 255.0 * 255).alias("v")), "SELECT img, y, x, round(v / 255.0::DOUBLE, 6) AS u, " + _LEVEL.format("v / 255.0::DOUBLE * 255") + " AS v FROM r1")
+add("mask_invert", "r1", lambda d: d.select("img", "y", "x", point.invert(F.col("v")).alias("v")), "SELECT img, y, x, 255 - v AS v FROM r1")
+add("brightness_shift", "r1", lambda d: d.select("img", "y", "x", point.shift_brightness(F.col("v"), -12.5).alias("v")), "SELECT img, y, x, " + _LEVEL.format("v - 12.5::DOUBLE") + " AS v FROM r1")
+add("unit_scale", "r1", lambda d: d.select("img", "y", "x", F.round(F.col("v") / 255.0, 6).alias("u"), point.to_level(F.col("v") / 255.0 * 255).alias("v")), "SELECT img, y, x, round(v / 255.0::DOUBLE, 6) AS u, " + _LEVEL.format("v / 255.0::DOUBLE * 255") + " AS v FROM r1")
 add(
     "vignette",
     "r3",
-    lambda d: d.select("img", "y", "x", point.gain(V, F.round(point.vignette_gain(F.col("y"), F.col("x"), 64, 64, 0.2), 6)).alias("v")),
+    lambda d: d.select("img", "y", "x", point.gain(F.col("v"), F.round(point.vignette_gain(F.col("y"), F.col("x"), 64, 64, 0.2), 6)).alias("v")),
     "SELECT img, y, x, " + _LEVEL.format("v * round(1 - 0.2::DOUBLE * (1 - exp(-((-1 + 2.0::DOUBLE * y / 63) ** 2 + (-1 + 2.0::DOUBLE * x / 63) ** 2) / 3.92::DOUBLE)), 6)") + " AS v FROM r3",
 )
 
@@ -105,13 +105,13 @@ add("ruled_lattice", "r3", lambda d: _lattice(d, 18, False).where("line = 140").
 add(
     "soft_blend",
     "r3",
-    lambda d: _lattice(d, 12, True).select("img", "y", "x", point.soft_blend(V, F.col("line"), F.col("line"), 0.5).alias("v")),
+    lambda d: _lattice(d, 12, True).select("img", "y", "x", point.soft_blend(F.col("v"), F.col("line"), F.col("line"), 0.5).alias("v")),
     f"l AS (SELECT *, {_LINE.format(12, _ON_X)} FROM r3) SELECT img, y, x, CASE WHEN line < 250 THEN " + _LEVEL.format("v * 0.75::DOUBLE + line * 0.25::DOUBLE") + " ELSE v END AS v FROM l",
 )
 add(
     "darken_blend",
     "r3",
-    lambda d: _lattice(d, 12, True).select("img", "y", "x", point.darken_blend(V, F.col("line"), F.col("line"), 0.5).alias("v")),
+    lambda d: _lattice(d, 12, True).select("img", "y", "x", point.darken_blend(F.col("v"), F.col("line"), F.col("line"), 0.5).alias("v")),
     f"l AS (SELECT *, {_LINE.format(12, _ON_X)} FROM r3) SELECT img, y, x, CASE WHEN line < 250 THEN least(v, " + _LEVEL.format("v * 0.5::DOUBLE + line * 0.5::DOUBLE") + ") ELSE v END AS v FROM l",
 )
 _NEXT = "n AS (SELECT a.img, a.y, a.x, a.v AS a, b.v AS b FROM {0} a JOIN {0} b ON b.img = a.img + 1 AND b.y = a.y AND b.x = a.x)"
@@ -119,7 +119,7 @@ _NEXT = "n AS (SELECT a.img, a.y, a.x, a.v AS a, b.v AS b FROM {0} a JOIN {0} b
 
 def _next(d: DataFrame) -> DataFrame:
     """Pixels of each image beside those of the image that follows."""
-    return d.select("img", "y", "x", V.alias("a")).join(d.select((F.col("img") - 1).alias("img"), "y", "x", V.alias("b")), ["img", "y", "x"])
+    return d.select("img", "y", "x", F.col("v").alias("a")).join(d.select((F.col("img") - 1).alias("img"), "y", "x", F.col("v").alias("b")), ["img", "y", "x"])
 
 
 add("darken_composite", "r3", lambda d: _next(d).select("img", "y", "x", F.least("a", "b").alias("v")), _NEXT.format("r3") + " SELECT img, y, x, least(a, b) AS v FROM n")
@@ -131,7 +131,7 @@ def _field(d: DataFrame, expr: str) -> DataFrame:
     own = d.withColumn("f", F.round(F.expr(expr), 6))
     whole = Window.partitionBy("img")
     low, high = F.min("f").over(whole), F.max("f").over(whole)
-    return own.select("img", "y", "x", point.gain(V, F.round(0.5 + 0.5 * (F.col("f") - low) / (high - low), 6)).alias("v"))
+    return own.select("img", "y", "x", point.gain(F.col("v"), F.round(0.5 + 0.5 * (F.col("f") - low) / (high - low), 6)).alias("v"))
 
 
 def _field_sql(expr: str) -> str:
@@ -186,14 +186,14 @@ add(
     lambda d: pixels.shape_extreme(pixels.shape_extreme(d, kernels.ellipse(1), "min", 64, 64), kernels.ellipse(1), "max", 64, 64),
     f"e AS ({_shape_sql('r3', 'min', 1)}) {_shape_sql('e', 'max', 1)}",
 )
-add("influence_zone", "r3", lambda d: pixels.shape_extreme(d.select("img", "y", "x", (V < 60).cast("int").alias("v")), kernels.ellipse(5), "max", 64, 64), "q AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM r3, (VALUES " + ", ".join(map(str, kernels.ellipse(5))) + ") AS o(dy, dx) WHERE v < 60) SELECT r3.img, r3.y, r3.x, CAST(q.img IS NOT NULL AS INT) AS v FROM r3 LEFT JOIN q ON q.img = r3.img AND q.y = r3.y AND q.x = r3.x")
+add("influence_zone", "r3", lambda d: pixels.shape_extreme(d.select("img", "y", "x", (F.col("v") < 60).cast("int").alias("v")), kernels.ellipse(5), "max", 64, 64), "q AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM r3, (VALUES " + ", ".join(map(str, kernels.ellipse(5))) + ") AS o(dy, dx) WHERE v < 60) SELECT r3.img, r3.y, r3.x, CAST(q.img IS NOT NULL AS INT) AS v FROM r3 LEFT JOIN q ON q.img = r3.img AND q.y = r3.y AND q.x = r3.x")
 _RUN = "(SELECT img, {1} AS line, min({0}) AS a, max({0}) AS z FROM (SELECT *, {0} - row_number() OVER (PARTITION BY img, {1} ORDER BY {0}) AS k FROM r3 WHERE v < 128) GROUP BY img, {1}, k HAVING count(*) >= 4)"
 add("line_opening", "r3", lambda d: pixels.long_line_pixels(_ink(d), 4), f"SELECT r3.img, y, x FROM r3 JOIN {_RUN.format('x', 'y')} q ON q.img = r3.img AND q.line = y AND x BETWEEN a AND z UNION SELECT r3.img, y, x FROM r3 JOIN {_RUN.format('y', 'x')} q ON q.img = r3.img AND q.line = x AND y BETWEEN a AND z")
 add("ink_runs", "r3", lambda d: pixels.runs(_ink(d)).where("length >= 4"), f"SELECT img, line, a AS start, CAST(z - a + 1 AS BIGINT) AS length FROM {_RUN.format('x', 'y')}")
 add(
     "box_residual_max",
     "r3",
-    lambda d: pixels.box_sums(d.select("img", "y", "x", (V < 60).cast("long").alias("v")), 64, 64, 8, 7).groupBy("img").agg(F.max("v").alias("most")),
+    lambda d: pixels.box_sums(d.select("img", "y", "x", (F.col("v") < 60).cast("long").alias("v")), 64, 64, 8, 7).groupBy("img").agg(F.max("v").alias("most")),
     "q AS (SELECT img, y, x, CAST(v < 60 AS BIGINT) AS v FROM r3), o AS (SELECT unnest(range(-8, 8)) AS d), h AS (SELECT a.img, a.y, a.x, CAST(sum(s.v) AS BIGINT) AS v FROM q a, o, q s WHERE s.img = a.img AND s.y = a.y AND s.x = "
     + _MIRROR.format("a.x + o.d") + " GROUP BY 1, 2, 3), f AS (SELECT a.img, a.y, a.x, CAST(sum(s.v) AS BIGINT) AS v FROM h a, o, h s WHERE s.img = a.img AND s.x = a.x AND s.y = " + _MIRROR.format("a.y + o.d") + " GROUP BY 1, 2, 3) SELECT img, max(v) AS most FROM f GROUP BY 1",
 )
@@ -202,7 +202,7 @@ _KERNEL = [(dy, dx, (dy + 2) * 3 + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)
 add(
     "conv3_relu",
     "r3",
-    lambda d: pixels.gather(d, _KERNEL, 64, 64, "ignore").groupBy("img", "y", "x").agg(F.greatest(F.sum(V * F.col("weight")) - 4000, F.lit(0)).cast("long").alias("v")),
+    lambda d: pixels.gather(d, _KERNEL, 64, 64, "ignore").groupBy("img", "y", "x").agg(F.greatest(F.sum(F.col("v") * F.col("weight")) - 4000, F.lit(0)).cast("long").alias("v")),
     "SELECT a.img, a.y, a.x, CAST(greatest(sum(s.v * k) - 4000, 0) AS BIGINT) AS v FROM r3 a, (VALUES " + ", ".join(map(str, _KERNEL)) + ") AS o(dy, dx, k), r3 s WHERE s.img = a.img AND s.y = a.y + dy AND s.x = a.x + dx GROUP BY 1, 2, 3",
 )
 
@@ -232,7 +232,7 @@ add(
 # Sets of pixels
 
 _A, _Z = "SELECT img, y, x FROM r3 WHERE v < 100", "SELECT img, y, x FROM r3 WHERE v % 3 = 0"
-_sets = lambda d: (_ink(d, 100), d.where(V % 3 == 0).select("img", "y", "x"))
+_sets = lambda d: (_ink(d, 100), d.where(F.col("v") % 3 == 0).select("img", "y", "x"))
 add("mask_union", "r3", lambda d: _sets(d)[0].union(_sets(d)[1]).distinct(), f"SELECT * FROM ({_A} UNION {_Z})")
 add("mask_intersect", "r3", lambda d: _sets(d)[0].intersect(_sets(d)[1]), f"SELECT * FROM ({_A} INTERSECT {_Z})")
 add("mask_difference", "r3", lambda d: _sets(d)[0].join(_sets(d)[1], ["img", "y", "x"], "left_anti"), f"SELECT * FROM ({_A} EXCEPT {_Z})")
@@ -256,7 +256,7 @@ _GAUSS = "exp(-((y - py - 15.5::DOUBLE) ** 2 + (x - px - 15.5::DOUBLE) ** 2) / 1
 add(
     "overlap_blend",
     "r3",
-    lambda d: pixels.overlap_blend(pixels.patch_pixels(d, 64, 32, 16).withColumn("p", (V * 31 + F.col("py") * 7 + F.col("px")) % 251), 32).select("img", "y", "x", F.round("p", 6).alias("p")),
+    lambda d: pixels.overlap_blend(pixels.patch_pixels(d, 64, 32, 16).withColumn("p", (F.col("v") * 31 + F.col("py") * 7 + F.col("px")) % 251), 32).select("img", "y", "x", F.round("p", 6).alias("p")),
     f"t AS (SELECT img, py, px, y, x, (v * 31 + py * 7 + px) % 251 AS p FROM r3, {_PATCH.format('py')} a, {_PATCH.format('px')} b WHERE y BETWEEN py AND py + 31 AND x BETWEEN px AND px + 31) SELECT img, y, x, round(sum(p * {_GAUSS}) / sum({_GAUSS}), 6) AS p FROM t GROUP BY 1, 2, 3",
 )
 add_table(
@@ -357,7 +357,7 @@ add(
 def _tile_dark(d: DataFrame) -> DataFrame:
     tiled = d.select("img", F.expr("cast(y div 16 as int)").alias("ty"), F.expr("cast(x div 16 as int)").alias("tx"), "y", "x", "v")
     paper = tiled.groupBy("img", "ty", "tx").agg(F.percentile("v", F.lit(0.85)).alias("paper"))
-    return tiled.join(paper, ["img", "ty", "tx"]).withColumn("dark", V < F.col("paper") - 60)
+    return tiled.join(paper, ["img", "ty", "tx"]).withColumn("dark", F.col("v") < F.col("paper") - 60)
 
 
 _TILES = (
@@ -379,7 +379,7 @@ def _tile_background(d: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("on_row"), F.col("y"))).alias("rows"),
         F.count_distinct(F.when(F.col("on_column"), F.col("x"))).alias("columns"),
         F.count_if(F.col("dark") & ~F.col("raster")).alias("residue"),
-        F.median(F.when(F.col("dark") & F.col("raster"), V)).alias("line"),
+        F.median(F.when(F.col("dark") & F.col("raster"), F.col("v"))).alias("line"),
     )
     return own.select(*by, "rows", "columns", "residue", ((F.col("paper") >= 150) & (F.col("residue") <= 24) & (F.coalesce("line", F.lit(255.0)) >= 68)).alias("clean"))
 
@@ -521,3 +521,5 @@ add_table(
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti"),
     "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
+
+QUERIES |= pages.QUERIES

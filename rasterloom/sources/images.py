@@ -143,3 +143,15 @@ def read_config(text: str | None) -> dict:
     except ValueError:
         return {}
     return said if isinstance(said, dict) else {}
+
+
+def from_pixels(pixels: DataFrame) -> DataFrame:
+    """Packed gray rows from pixels ``(img, y, x, v)``, path the image's id; missing pixels are paper."""
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", "v"))
+        img = np.full((y.max() + 1, x.max() + 1), 255, dtype=np.uint8)
+        img[y, x] = v
+        return pa.Table.from_pylist([{"path": str(table.column("img")[0].as_py()), "height": img.shape[0], "width": img.shape[1], "channels": 1, "data": img.tobytes()}], schema=_ARROW)
+
+    return pixels.select("img", "y", "x", "v").groupBy("img").applyInArrow(run, PACKED)
