@@ -126,6 +126,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _judge(text: str | None, model: Model) -> tuple[str, float]:
+    if not model.languages:
+        return UNKNOWN, 0.0
     letters, hits = 0, np.zeros(len(model.languages), dtype=np.int64)
     for found in grams(text or "", model.fold):
         letters += len(found)
@@ -139,8 +141,8 @@ def _judge(text: str | None, model: Model) -> tuple[str, float]:
             hits += [int(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).sum()) for i in range(len(hits))]
     if not letters and text:  # fewer characters than an n-gram has
         known = any(model.fold[ord(c)] != 32 for c in text)
-        return (model.languages[0], 0.0) if known and model.languages else (UNKNOWN, 0.0)
-    if not letters or not len(hits):
+        return (model.languages[0], 0.0) if known else (UNKNOWN, 0.0)
+    if not letters:
         return UNKNOWN, 0.0
     share = np.clip((hits / letters - model.false_rate) / (1 - model.false_rate), 0.0, 1.0)
     best = int(np.argmax(share))
