@@ -92,8 +92,13 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
     spark.createDataFrame(log).coalesce(1).write.mode("overwrite").option("header", True).csv(a.output + ".log")
 
 
+def _visualize(spark: SparkSession, a: argparse.Namespace) -> None:
+    crop = tuple(a.crop) if a.crop else None
+    _write(images.map_images(_pages(spark, a.input, False), lambda img: kernels.side_by_side(img, kernels.boost_black(kernels.postprocess(img), a.black_point), crop)), a.output)
+
+
 def _verify(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = images.integrity(spark, a.input, a.size, a.sha256).collect()
+    rows = images.integrity(spark, a.input, a.size or None, a.sha256).collect()
     for row in rows:
         print(row["path"], "valid" if row["valid"] else "not valid")
     if not rows or not all(r["valid"] for r in rows):
@@ -128,6 +133,8 @@ def parser() -> argparse.ArgumentParser:
     command("harvest", _harvest, tile=256, stride=64, margin=120, dark_offset=60)
     command("generate", _generate, n=5000, size=512, seed=42, domain_robust_prob=0.5)
     command("train", _train, n=64, epochs=50, batch_size=8, lr=1e-3, patch_size=256, seed=42)
+    command("visualize", _visualize, black_point="auto")
+    commands.choices["visualize"].add_argument("--crop", type=int, nargs=4, metavar=("X", "Y", "W", "H"))
     command("verify", _verify, sha256="", size=0)
     return top
 

@@ -546,6 +546,12 @@ def harvest(page: np.ndarray, tile: int = 256, stride: int = 64, margin: int = 1
     return kept
 
 
+def side_by_side(before: np.ndarray, after: np.ndarray, crop: tuple[int, int, int, int] | None = None, gap: int = 8) -> np.ndarray:
+    """Two gray versions of a page, or of a crop (x, y, w, h) of it, with white between."""
+    parts = [crop_clamped(p, *crop) if crop else p for p in (before, after)]
+    return np.hstack((parts[0], np.full((parts[0].shape[0], gap), 255, dtype=np.uint8), parts[1]))
+
+
 def contact_sheet(tiles: list[np.ndarray], columns: int = 6, most: int = 1536) -> np.ndarray:
     side = max(t.shape[0] for t in tiles)
     rows = -(-len(tiles) // columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rasterloom.functions import point
-from rasterloom.operators import kernels, pixels
+from rasterloom.operators import kernels, network, pixels
 from rasterloom.plans import pages, rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,7 +184,7 @@ add(
     "open_ellipse",
     "r3",
     lambda d: pixels.shape_extreme(pixels.shape_extreme(d, kernels.ellipse(1), "min", 64, 64), kernels.ellipse(1), "max", 64, 64),
-    f"e AS ({_shape_sql('r3', 'min', 1)}) {_shape_sql('e', 'max', 1)}",
+    f"e AS MATERIALIZED ({_shape_sql('r3', 'min', 1)}) {_shape_sql('e', 'max', 1)}",
 )
 add("influence_zone", "r3", lambda d: pixels.shape_extreme(d.select("img", "y", "x", (F.col("v") < 60).cast("int").alias("v")), kernels.ellipse(5), "max", 64, 64), "q AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM r3, (VALUES " + ", ".join(map(str, kernels.ellipse(5))) + ") AS o(dy, dx) WHERE v < 60) SELECT r3.img, r3.y, r3.x, CAST(q.img IS NOT NULL AS INT) AS v FROM r3 LEFT JOIN q ON q.img = r3.img AND q.y = r3.y AND q.x = r3.x")
 _RUN = "(SELECT img, {1} AS line, min({0}) AS a, max({0}) AS z FROM (SELECT *, {0} - row_number() OVER (PARTITION BY img, {1} ORDER BY {0}) AS k FROM r3 WHERE v < 128) GROUP BY img, {1}, k HAVING count(*) >= 4)"
@@ -521,5 +521,21 @@ add_table(
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti"),
     "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
+add_table(
+    "error_classes",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", point.error_kind(F.when(F.col("event_id") % 4 == 0, "Size Mismatch for x").when(F.col("event_id") % 4 == 1, "CUDA out of memory").when(F.col("event_id") % 4 == 2, "cuda: none").otherwise("?")).alias("kind")),
+    "SELECT event_id, ['weights', 'memory', 'device', 'other'][event_id % 4 + 1] AS kind FROM events",
+)
+add_table(
+    "parameter_count",
+    lambda spark, _: spark.createDataFrame([(k, w.size) for k, w in network.initial().items()], "name string, size long").where(~F.col("name").rlike(r"\.(mean|var)$")).agg(F.sum("size").alias("parameters")),
+    "SELECT 482449::BIGINT AS parameters",
+)
+add(
+    "contact_sheet",
+    "r1",
+    lambda d: d.select("img", F.expr("cast(img div 6 * 8 + y as int)").alias("y"), ((F.col("img") % 6) * 8 + F.col("x")).cast("int").alias("x"), "v"),
+    "SELECT img, CAST(img // 6 * 8 + y AS INT) AS y, CAST(img % 6 * 8 + x AS INT) AS x, v FROM r1",
+)
 
 QUERIES |= pages.QUERIES

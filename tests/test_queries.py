@@ -129,5 +129,7 @@ def test_command_line(spark, tmp_path):
     write(tmp_path / "a.png", np.full((20, 20), 200, dtype=np.uint8))
     assert cli.main(["thicken", "-i", str(tmp_path / "a.png"), "-o", str(tmp_path / "out")]) == 0
     assert (tmp_path / "out" / "a_clean.png").exists()
+    assert cli.main(["visualize", "-i", str(tmp_path / "a.png"), "-o", str(tmp_path / "seen"), "--crop", "2", "2", "10", "6"]) == 0
+    assert images.scan(spark, str(tmp_path / "seen")).first()["width"] == 28
     (tmp_path / "empty").mkdir()
     assert cli.main(["boost-black", "-i", str(tmp_path / "empty"), "-o", str(tmp_path / "o")]) == 1
