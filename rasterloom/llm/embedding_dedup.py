@@ -78,7 +78,7 @@ def fit(x: np.ndarray, first: int, rows: int, limit: float, blocks: int = BLOCKS
 
 def leaf_of(y: np.ndarray, space: Subspaces) -> np.ndarray:
     node = np.zeros(len(y), dtype=np.int64)
-    while space.leaves > 1 and node.min(initial=0) < space.leaves - 1 and len(node):
+    for _ in range(space.leaves.bit_length() - 1):
         node = 2 * node + 1 + (y[np.arange(len(y)), space.axis[node]] >= space.at[node])
     return space.first + node - (space.leaves - 1)
 
