@@ -19,12 +19,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import give_back
+
 #: Characters of text whose words share one dictionary.
-CHUNK = 8_000_000
+CHUNK = 6_000_000
 #: Input bytes for each part that dictionaries are dealt out in, and the bounds of that number.
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 8_000_000, 16, 4096
 #: Documents whose positions travel in one row.
@@ -136,8 +139,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
             if chunk.size >= CHUNK:
                 yield chunk
                 chunk = _Chunk()
+                give_back()
     if chunk.ids:
         yield chunk
+    del chunk
+    give_back()
 
 
 def _dictionaries(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -255,11 +261,15 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
     partitions must come out the same each time, as those of files do; where they do not, the
     join fails and names this.
     """
+    return _joined(docs, definition, id_col, text_col).applyInArrow(_join, "doc_id long, ids binary")
+
+
+def _joined(docs: DataFrame, definition: str, id_col: str, text_col: str) -> GroupedData:
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = int(str(only._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = max(LEAST_PARTS, min(MOST_PARTS, size // PART_BYTES))
     ids = word_ids(only.mapInArrow(_dictionaries(n), "chunk long, part int, words binary"), definition)
-    return only.mapInArrow(_positions(n), _ROW).union(ids).groupBy("chunk").applyInArrow(_join, "doc_id long, ids binary")
+    return only.mapInArrow(_positions(n), _ROW).union(ids).groupBy("chunk")
 
 
 def decode(encoded: DataFrame, definition: str) -> DataFrame:
@@ -268,22 +278,40 @@ def decode(encoded: DataFrame, definition: str) -> DataFrame:
     The pieces are a table of one vocabulary, which bounds its broadcast. Bytes that are no UTF-8
     become U+FFFD. Null ids give null, no ids the empty text; an id without a piece gives nothing.
     """
-    pieces = pieces_of(definition)
-    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths))
+    shared = _pieces(encoded.sparkSession, definition)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        body, starts, sizes = shared.value
         for batch in batches:
-            texts: list[str | None] = []
-            for blob in batch.column("ids"):
-                if blob.as_py() is None:
-                    texts.append(None)
-                    continue
-                ids = np.frombuffer(blob.as_py(), dtype="<u4")
-                ids = ids[ids < len(sizes)]
-                texts.append(_gather(body, starts[ids], sizes[ids]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            yield _decoded(batch, *shared.value)
 
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids binary, decoded string")
 
+
+def round_trip(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, decoded)``: :func:`encode`, then :func:`decode`, one after the other in one worker."""
+    shared = _pieces(docs.sparkSession, definition)
+
+    def join(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _join(group):
+            yield _decoded(batch, *shared.value)
+        give_back()
+
+    return _joined(docs, definition, id_col, text_col).applyInArrow(join, "doc_id long, ids binary, decoded string")
+
+
+def _pieces(spark: SparkSession, definition: str) -> Broadcast:
+    pieces = pieces_of(definition)
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths))
+
+
+def _decoded(batch: pa.RecordBatch, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    texts: list[str | None] = []
+    for blob in batch.column("ids"):
+        if blob.as_py() is None:
+            texts.append(None)
+            continue
+        ids = np.frombuffer(blob.as_py(), dtype="<u4")
+        ids = ids[ids < len(sizes)]
+        texts.append(_gather(body, starts[ids], sizes[ids]).tobytes().decode("utf-8", "replace"))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import pieces_of
+from .common import give_back
 
 WINDOW = 1024
 #: Lengths count in steps of so many tokens; the most parts of a combination.
@@ -220,8 +221,11 @@ def pack(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str
                 if total >= CHUNK:
                     yield from flush()
                     ids, tokens, total = [], [], 0
+                    give_back()
         if ids:
             yield from flush()
+        ids, tokens = [], []
+        give_back()
 
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return only.mapInArrow(run, _SCHEMA)

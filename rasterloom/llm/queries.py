@@ -51,7 +51,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = bpe.vocabulary(tokenizer_path())
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), definition)
     n = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
