@@ -201,3 +201,13 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def _alone(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+
+
+#: DuckDB SQL for near_duplicates() over embeddings whose ids are unique.
+SQL = f"""WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}),
+r(id, top) AS (SELECT a, a FROM l UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(top) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.id = vec_id"""

@@ -30,23 +30,38 @@ _NAMED = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond reply replies share sharing social related "
     "recommended promo promotion newsletter subscribe subscription signup login footer header masthead widget pagination pager topbar toolbar".split()
 )
+#: A name that begins so is furniture as well: comment lists, cookie bars and the like.
+_NAMED_FROM = re.compile(r"(?:comment(?!ar)|cookie|advert|sidebar|sponsor|newsletter|breadcrumb|popup|navbar)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+_ABOUT = frozenset("has with no without is".split())
 _BODY = frozenset(("html", "body", "main"))
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)[^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
+def _named(value: str, whole: bool = False) -> bool:
+    """Whether a class or id names furniture; ``whole``: by a name of its own, not by a part of one.
+
+    Names that say what a container has (``has-sidebar``, ``no-ads``) say nothing of itself.
+    """
+    for name in value.lower().split():
+        parts = [name] if whole else _NAME_PARTS.split(name)
+        if parts[0] not in _ABOUT and (not _NAMED.isdisjoint(parts) or any(_NAMED_FROM.match(p) for p in parts)):
+            return True
+    return False
+
+
 def _is_furniture(tag: str, attributes: str) -> bool:
-    if tag in _FURNITURE:
+    if tag in _FURNITURE or "-" in tag and _named(tag):
         return True
     if not attributes or tag in _BODY:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "role" and value in _ROLES:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and not _NAMED.isdisjoint(_NAME_PARTS.split(value)):
+        if name == "style" and re.search(r"display\s*:\s*none", value) or name in ("class", "id") and _named(value, tag == "article"):
             return True
     return False
 

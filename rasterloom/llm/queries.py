@@ -83,4 +83,9 @@ QUERIES = {
         op10_embedding_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.SCAN_SQL, "op8_url_filter": urls.judge_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": secrets.SCAN_SQL,
+    "op4_exact_top_k": topk.SQL,
+    "op8_url_filter": urls.judge_sql(),
+    "op10_embedding_near_dedup": embedding_dedup.SQL,
+}

@@ -194,14 +194,21 @@ def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int)
             )
 
     def searched(tasks: DataFrame) -> DataFrame:
-        load = packs.select("pack", F.col("ids").alias("asked"), F.col("body").alias("asked_body"))
-        work = tasks.join(built.select("ring", "part", "ids", "body"), "ring").join(load, "pack").repartition("pack", "ring", "part")
-        return work.select("asked", "asked_body", "ids", "body").mapInArrow(score, "query_id long, vec_id long, score long")
+        load = packs.select("pack", F.col("ids").alias("asked"), F.col("kind").alias("asked_kind"), F.col("body").alias("asked_body"))
+        work = tasks.join(built.select("ring", "part", "ids", "kind", "body"), "ring").join(load, "pack").repartition("pack", "ring", "part")
+        return work.select("asked", "asked_kind", "asked_body", "ids", "kind", "body").mapInArrow(score, "query_id long, vec_id long, score long")
 
     near = cut(_ranked(searched(packs.mapInArrow(expand_first, "pack long, ring long")), k).drop("rank"))
     ranked = near.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     members = packs.select("pack", F.explode("ids").alias("query_id"))
     least = members.join(ranked.where(F.col("at") == k).select("query_id", F.col("score").cast("double").alias("score")), "query_id")
     per_pack = least.groupBy("pack").agg(F.collect_list(F.struct("query_id", "score")).alias("least"))
-    rest = packs.join(per_pack, "pack", "left").select("pack", "ids", "body", "least").mapInArrow(expand_rest, "pack long, ring long")
+    rest = packs.join(per_pack, "pack", "left").select("pack", "ids", "kind", "body", "least").mapInArrow(expand_rest, "pack long, ring long")
     return near.union(searched(rest))
+
+
+#: DuckDB SQL for top_k() over embeddings.
+SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE}::DOUBLE * x::DOUBLE)) AS q FROM embeddings
+WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}"""

@@ -45,7 +45,7 @@ def corpus(spark):
 
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -118,6 +118,9 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert html.extract(page) == "T & U\n\nShort.\n\nA bc <d e\n\none\n\ntwo"
     bare = f"<body><p>Menu</p><hr><div></div><div></div><div></div><p>{long}</p><p>more {long}</p><div></div><div></div><div></div><p>Imprint</p>"
     assert long.strip() in html.extract(bare) and "Imprint" not in html.extract(bare)
+    layout = """<div class="wrap with-ads"><main><article class="post has-sidebar"><p>One</p><ol class="commentlist"><li>c</ol><cookie-banner>x</cookie-banner><p style="display: none">h</p>
+    <p class=commentary>two</p><div aria-hidden="true">z</div><div class="ad-slot top">buy</div><article class=comment><p>no</p></article></article></main></div>"""
+    assert html.extract(layout) == "One\n\ntwo"
     assert [html.extract(x) for x in (None, "", "<p", "<a href='", "&lt;")] == [""] * 5 or html.extract("&lt;") == ""
 
 
@@ -470,6 +473,16 @@ def test_pipeline_matches_its_operators(spark, definition):
     assert corpus_pipeline.run(spark, SF).columns == frames[-1].columns
 
 
+def test_stages_take_empty_tables_and_odd_columns(spark, docs):
+    import corpus_pipeline
+
+    odd = docs.withColumns({"n_chars": F.length("text").cast("long"), "source": F.lit(None).cast("string"), "found": F.lit(2), "score": F.lit(0.5)})
+    for frame, kept in ((odd.limit(0), False), (odd, True)):
+        for _, stage in corpus_pipeline.STAGES:
+            columns, frame = frame.columns, stage(spark, frame, SF).cache()
+            assert (frame.count() > 0) == kept and (frame.columns == columns or "sequence_id" in frame.columns)
+
+
 def test_plans_keep_to_dataframes_where_asked(spark):
     plan = secrets.scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoop", plan) and json.dumps(plan)
