@@ -93,7 +93,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
     chosen = labelled.join(F.broadcast(counts), "lang").where(likely).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", F.col("lang").alias("as_lang")).distinct()
     same = (F.col("id") == F.col("as_id")) & (F.col("lang") == F.col("as_lang"))
-    learned = rows.join(chosen.withColumnRenamed("id", "as_id"), same, "left_semi")
+    learned = rows.join(F.broadcast(chosen.withColumnRenamed("id", "as_id")), same, "left_semi")  # `sample` rows for each of 64 languages at most
     fold = folding()
     shared = docs.sparkSession.sparkContext.broadcast(fold)
 
