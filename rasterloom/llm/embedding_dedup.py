@@ -175,12 +175,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     pairs = spark.createDataFrame(listed, "i long, j long, blocks long")
     a, b = (built.select(F.col("leaf").alias(leaf), F.col("tile").alias(f"t{leaf}")) for leaf in "ij")
     tasks = pairs.join(a, "i").join(b, "j").where("i < j or ti <= tj").select("ti", "tj", "blocks")
-    load = [built.select(F.col("tile").alias(f"t{k}"), F.col("dim"), F.col("body").alias(f"body_{k}")) for k in "ij"]
+    load = [built.select(F.col("tile").alias(f"t{k}"), F.col("dim"), F.col("kind").alias(f"kind_{k}"), F.col("body").alias(f"body_{k}")) for k in "ij"]
     work = tasks.join(load[0], "ti").join(load[1].drop("dim"), "tj").repartition(F.col("ti"), F.col("tj"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
-            x, y = unit(unpack(row["body_i"], row["dim"])), unit(unpack(row["body_j"], row["dim"]))
+            x, y = (unit(unpack(row[f"body_{k}"], row["dim"], row[f"kind_{k}"])) for k in "ij")
             same = row["ti"] == row["tj"]
             links, root = compare(x, y, same, row["blocks"], shared.value[row["dim"]], least)
             some = np.flatnonzero(links)

@@ -111,6 +111,19 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return held[np.lexsort((ids[held], -scores[held]))][:k]
 
 
+def gathered(pivots: np.ndarray, counts: dict[int, int], size: int = QUERIES) -> dict[int, int]:
+    """Pivots put together until their queries fill a pack: each next one is the nearest to the last."""
+    left, groups, held, group = sorted(counts), {}, 0, 0
+    last = left[0] if left else 0
+    while left:
+        last = min(left, key=lambda p: (float(((pivots[p] - pivots[last]) ** 2).sum()), p))
+        left.remove(last)
+        if held and held + counts[last] > size:
+            held, group = 0, group + 1
+        groups[last], held = group, held + counts[last]
+    return groups
+
+
 def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best scores of every query row, all if fewer.
 
@@ -157,8 +170,14 @@ def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int)
     built = cut(tiles(dealt.withColumn("part", split_column(dict(zip(known["ring"].tolist(), known["n"].tolist())), "ring")), ["ring", "part"]))
     asked = dealt.where(F.col("id") % every == 0)
     per_pivot = {r["pivot"]: r["n"] for r in asked.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    packs = tiles(asked.withColumn("pack", split_column(per_pivot, "pivot", QUERIES)), ["pivot", "pack"])
-    packs = cut(packs.withColumn("pack", F.shiftleft("pivot", 32) + F.col("pack")).drop("pivot"))
+    near_pivots = gathered(index.pivots, per_pivot)
+    group = F.element_at(F.create_map(*(F.lit(x) for p, g in near_pivots.items() for x in (p, g))), F.col("pivot")) if near_pivots else F.lit(0)
+    sizes: dict[int, int] = {}
+    for p, g in near_pivots.items():
+        sizes[g] = sizes.get(g, 0) + per_pivot[p]
+    asked = asked.withColumn("group", group.cast("long"))
+    packs = tiles(asked.withColumn("pack", split_column(sizes, "group", QUERIES)), ["group", "pack"])
+    packs = cut(packs.withColumn("pack", F.shiftleft("group", 32) + F.col("pack")).drop("group"))
     known_rings = spark.sparkContext.broadcast(rings)
 
     def nearest(body: np.ndarray) -> np.ndarray:
@@ -169,12 +188,12 @@ def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int)
 
     def expand_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
-            chosen = known_rings.value.ring[nearest(unpack(row["body"], dim))]
+            chosen = known_rings.value.ring[nearest(unpack(row["body"], dim, row["kind"]))]
             yield pa.RecordBatch.from_arrays([pa.array([row["pack"]] * len(chosen), pa.int64()), pa.array(chosen, pa.int64())], names=["pack", "ring"])
 
     def expand_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
-            body, held = unpack(row["body"], dim), known_rings.value
+            body, held = unpack(row["body"], dim, row["kind"]), known_rings.value
             least = {r["query_id"]: r["score"] for r in row["least"] or []}
             limit = np.array([least.get(i, -np.inf) for i in row["ids"]])
             open_rings = (bounds(body, shared.value, held) >= limit[:, None]).any(axis=0)
@@ -185,7 +204,7 @@ def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
             asked_ids, ids = np.array(row["asked"]), np.array(row["ids"])
-            products = unpack(row["asked_body"], dim) @ unpack(row["body"], dim).T
+            products = unpack(row["asked_body"], dim, row["asked_kind"]) @ unpack(row["body"], dim, row["kind"]).T
             products[asked_ids[:, None] == ids[None, :]] = -np.inf
             hits = [best(line, ids, k) for line in products]
             yield pa.RecordBatch.from_arrays(

@@ -46,11 +46,13 @@ def tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
         out = {k: table.column(k)[:1].combine_chunks() for k in keys}
         out["ids"] = pa.array([table.column("id").take(pa.array(order)).to_pylist()], pa.list_(pa.int64()))
         out["dim"] = pa.array([body.shape[1]], pa.int32())
-        out["body"] = pa.array([body[order].tobytes()], pa.binary())
+        narrow = narrowest(body)
+        out["kind"] = pa.array([narrow], pa.string())
+        out["body"] = pa.array([body[order].astype(narrow).tobytes()], pa.binary())
         return pa.Table.from_pydict(out)
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ids array<bigint>, dim int, body binary"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ids array<bigint>, dim int, kind string, body binary"
     return rows.select(*keys, F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).groupBy(*keys).applyInArrow(build, schema)
 
 
@@ -61,8 +63,17 @@ def split_column(counts: dict[int, int], key: str, size: int = TILE) -> Column:
     return F.pmod(F.xxhash64("id", "vector"), parts.cast("long")).cast("int")
 
 
-def unpack(body: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(body, dtype=np.float64).reshape(-1, dim)
+def narrowest(body: np.ndarray) -> str:
+    """The smallest type that holds the values exactly."""
+    for kind in ("<i2", "<f4"):
+        with np.errstate(invalid="ignore", over="ignore"):
+            if (body.astype(kind) == body).all():
+                return kind
+    return "<f8"
+
+
+def unpack(body: bytes, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(body, dtype=kind).reshape(-1, dim).astype(np.float64)
 
 
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
