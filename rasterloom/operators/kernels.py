@@ -15,6 +15,10 @@ GRAY_WEIGHTS = (1868, 9617, 4899)
 #: Hue low and high, least saturation, least and most value, least red over green and over blue.
 COLOR_INKS = ((0, 12, 40, 40, 230, 15, 15), (155, 180, 40, 40, 230, 15, 15))
 
+#: Fixed values of the background test: least paper level, share of a line that is dark, lines per
+#: axis, reach of a line, residue in all and in a 16 x 16 box, least level of a printed line.
+PAPER_LEAST, LINE_SHARE, LINES_LEAST, LINE_REACH, RESIDUE_MOST, CLUSTER_MOST, PRINT_LEAST = 210, 0.45, 3, 3, 60, 14, 68
+
 
 def to_uint8(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 255).astype(np.uint8)
@@ -511,16 +515,16 @@ def clean_background(tile: np.ndarray, dark_offset: int = 60) -> bool:
     g = gray(tile)
     paper = float(np.percentile(g, 85))
     dark = g < paper - dark_offset
-    lines = [dark.mean(axis=1) > 0.45, dark.mean(axis=0) > 0.45]
-    if paper < 210 or min(int(line.sum()) for line in lines) < 3:
+    lines = [dark.mean(axis=1) > LINE_SHARE, dark.mean(axis=0) > LINE_SHARE]
+    if paper < PAPER_LEAST or min(int(line.sum()) for line in lines) < LINES_LEAST:
         return False
-    rows, columns = (np.convolve(line.astype(int), np.ones(7, dtype=int), mode="same") > 0 for line in lines)
+    rows, columns = (np.convolve(line.astype(int), np.ones(2 * LINE_REACH + 1, dtype=int), mode="same") > 0 for line in lines)
     raster = rows[:, None] | columns[None, :]
     rest = dark & ~raster
-    if int(rest.sum()) > 60 or rest.any() and float(box_sum(rest.astype(np.float64)).max()) > 14:
+    if int(rest.sum()) > RESIDUE_MOST or rest.any() and float(box_sum(rest.astype(np.float64)).max()) > CLUSTER_MOST:
         return False
     printed = g[dark & raster]
-    return not printed.size or float(np.median(printed)) >= 68
+    return not printed.size or float(np.median(printed)) >= PRINT_LEAST
 
 
 def harvest(page: np.ndarray, tile: int = 256, stride: int = 64, margin: int = 120, dark_offset: int = 60, apart: int = 128) -> list[tuple[int, int]]:
