@@ -108,20 +108,28 @@ def tie(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
+def _left(x: np.ndarray) -> np.ndarray:
+    """Rows that, multiplied with :func:`_right`, give squared distances."""
+    return np.hstack((-2 * x, (x**2).sum(axis=1)[:, None], np.ones((len(x), 1), dtype=x.dtype)))
+
+
+def _right(y: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.hstack((y, np.ones((len(y), 1), dtype=y.dtype), (y**2).sum(axis=1)[:, None])).T)
+
+
 def compare(x: np.ndarray, y: np.ndarray, same: bool, blocks: int, space: Subspaces, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row of x, then of y, and for each the smallest row it is tied to through them."""
     n = len(x)
     rx, ry = (x @ space.rotation).astype(np.float32), (y @ space.rotation).astype(np.float32)
     parts = [(a, b, np.float32(s + SLACK)) for k, (a, b, s) in enumerate(zip(space.edges, space.edges[1:], space.shares)) if blocks >> k & 1]
-    sides = [(rx[:, a:b], ry[:, a:b].T.copy(), (ry[:, a:b] ** 2).sum(axis=1), s) for a, b, s in parts]
+    sides = [(_left(rx[:, a:b]), _right(ry[:, a:b]), s) for a, b, s in parts]
     links, root = np.zeros(n + len(y), dtype=np.int64), np.arange(n + len(y))
     if same:
         root[n:] = np.arange(len(y))
     for at in range(0, n, STRIP):
         near = np.zeros((min(STRIP, n - at), len(y)), dtype=bool)
-        for own, other, size, share in sides:
-            piece = own[at : at + STRIP]
-            near |= (piece**2).sum(axis=1)[:, None] + size[None, :] - 2 * (piece @ other) <= share
+        for own, other, share in sides:
+            near |= own[at : at + STRIP] @ other <= share
         if same:
             near &= np.arange(at, at + len(near))[:, None] < np.arange(len(y))[None, :]
         i, j = np.nonzero(near)
