@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import zlib
 from array import array
@@ -27,9 +28,9 @@ from tokenizers import Tokenizer
 from .common import give_back
 
 #: Characters of text whose words share one dictionary.
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 #: Input bytes for each part that dictionaries are dealt out in, and the bounds of that number.
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 8_000_000, 16, 4096
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 4_000_000, 32, 4096
 #: Documents whose positions travel in one row.
 ROW_DOCS = 512
 #: A space next to white space, as any Unicode version has it, or at an end: no place to cut.
@@ -194,6 +195,7 @@ def word_ids(dictionaries: DataFrame, definition: str) -> DataFrame:
     shared = dictionaries.sparkSession.sparkContext.broadcast(definition)
 
     def encode(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread keeps memory
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -210,6 +212,8 @@ def word_ids(dictionaries: DataFrame, definition: str) -> DataFrame:
                 counts = np.fromiter(map(len, ids), dtype="<u4", count=len(ids))
                 flat = np.fromiter((i for x in ids for i in x), dtype="<u4", count=int(counts.sum()))
                 yield _row(chunk.as_py(), part.as_py(), _squeeze(np.concatenate((np.array([len(ids)], dtype="<u4"), counts, flat))))
+        known.clear()
+        give_back()
 
     return dictionaries.groupBy("part").applyInArrow(encode, _ROW)
 
@@ -268,7 +272,8 @@ def _joined(docs: DataFrame, definition: str, id_col: str, text_col: str) -> Gro
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = int(str(only._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = max(LEAST_PARTS, min(MOST_PARTS, size // PART_BYTES))
-    ids = word_ids(only.mapInArrow(_dictionaries(n), "chunk long, part int, words binary"), definition)
+    dealt = only.mapInArrow(_dictionaries(n), "chunk long, part int, words binary").repartition(n, "part")  # by number: encoding is slow for its bytes, so partitions are not merged
+    ids = word_ids(dealt, definition)
     return only.mapInArrow(_positions(n), _ROW).union(ids).groupBy("chunk")
 
 
