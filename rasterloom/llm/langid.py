@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut
+
 #: Documents per language that the filters are fitted on, and n-grams per language put in.
 SAMPLE = 2000
 GRAMS = 200_000
@@ -27,7 +29,7 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: An n-gram goes to a language where it is at least this share as frequent as anywhere.
 SHARE = 0.3
 UNKNOWN = "und"
-#: Texts of this many characters and a lower score than this are in no learned language.
+#: Texts of this many characters are in no learned language if of none they hold this share of what its sample covers.
 SURE, LEAST_SCORE = 50, 0.25
 #: Characters looked up at a time.
 BLOCK = 1 << 20
@@ -37,6 +39,7 @@ class Model(NamedTuple):
     languages: list[str]
     slots: np.ndarray  # bit l of slots[i]: language l has an n-gram that hashes to i
     false_rate: np.ndarray
+    coverage: np.ndarray  # expected share of the n-grams of further texts of the language that its sample holds
     fold: np.ndarray
 
 
@@ -104,30 +107,38 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     values, n = np.unique(found, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(values)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = learned.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frequent = counted.where("n > 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
+    counting = lambda texts: texts.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = cut(counting(learned))
+    # Each distinct word once, so that copies and repeated lines do not pass for further text; leaving out one n-gram, the rest has it if it is there again.
+    words = learned.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
+    words = words.groupBy("lang", F.pmod(F.xxhash64("word"), F.lit(16)).alias("part")).agg(F.concat_ws(" ", F.sort_array(F.collect_list("word"))).alias("text"))
+    again = {r["lang"]: r["again"] for r in counting(words).groupBy("lang").agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("again")).collect()}
+    total = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    frequent = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
     table = frequent.select("lang", "gram", "n").toPandas()
     languages = sorted(table["lang"].unique())
     if len(languages) > 64:
         raise ValueError("the bitmask holds 64 languages at most")
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(k).itemsize * 8)
-    slots, filled = np.zeros(1 << SLOT_BITS, dtype=kind), []
+    slots, filled, coverage = np.zeros(1 << SLOT_BITS, dtype=kind), [], []
     if languages:
-        wide = table.pivot(index="gram", columns="lang", values="n").fillna(0.0)[languages]
-        rate = wide / wide.sum(axis=0)
-        within = (rate.to_numpy() >= SHARE * rate.max(axis=1).to_numpy()[:, None]) & (rate.to_numpy() > 0)
-        hashes = wide.index.to_numpy().astype(np.int64).view(np.uint64)
-        for i in range(len(languages)):
-            own = hashes[within[:, i]]
+        rate = table["n"] / table.groupby("lang")["n"].transform("sum")
+        within = table[rate >= SHARE * rate.groupby(table["gram"]).transform("max")]
+        for i, lang in enumerate(languages):
+            held = within[within["lang"] == lang]
+            coverage.append(again.get(lang, 0.0) * float(held["n"].sum()) / total[lang])
+            own = held["gram"].to_numpy().astype(np.int64).view(np.uint64)
             for multiplier in MULTIPLIERS:
                 slots[_slot(own, multiplier, SLOT_BITS)] |= kind(1 << i)
             filled.append(float(((slots >> kind(i)) & kind(1)).mean()))
-    return Model(languages, slots, np.array(filled) ** len(MULTIPLIERS), fold)
+    return Model(languages, slots, np.array(filled) ** len(MULTIPLIERS), np.array(coverage), fold)
 
 
-def _judge(text: str | None, model: Model) -> tuple[str, float]:
+def _judge(text: str | None, model: Model) -> tuple[str, float, np.ndarray]:
+    """Language, score, and the share of the text's n-grams in each language."""
+    none = np.zeros(len(model.languages))
     if not model.languages:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, none
     letters, hits = 0, np.zeros(len(model.languages), dtype=np.int64)
     for found in grams(text or "", model.fold):
         letters += len(found)
@@ -141,12 +152,12 @@ def _judge(text: str | None, model: Model) -> tuple[str, float]:
             hits += [int(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).sum()) for i in range(len(hits))]
     if not letters and text:  # fewer characters than an n-gram has
         known = any(model.fold[ord(c)] != 32 for c in text)
-        return (model.languages[0], 0.0) if known else (UNKNOWN, 0.0)
+        return (model.languages[0], 0.0, none) if known else (UNKNOWN, 0.0, none)
     if not letters:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, none
     share = np.clip((hits / letters - model.false_rate) / (1 - model.false_rate), 0.0, 1.0)
     best = int(np.argmax(share))
-    return model.languages[best], float(share[best])
+    return model.languages[best], float(share[best]), share
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,8 +181,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that are in no learned language; a null label is filled in.
 
-    A row goes if its prediction is ``und``, or if it has :data:`SURE` characters or more and a
-    score below ``least``: shorter texts have too few n-grams to be judged by their share.
+    A row goes if its prediction is ``und``, or if it has :data:`SURE` characters or more and
+    each language's share of its n-grams is below ``least`` of what that language's sample is
+    expected to cover: a language of few labelled texts cannot know more of a clean one. Shorter
+    texts have too few n-grams to be judged by their share.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
@@ -180,8 +193,9 @@ def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE, id_col
         for batch in batches:
             texts = [t.as_py() for t in batch.column(text_at)]
             said = [_judge(t, shared.value) for t in texts]
-            stays = [lang != UNKNOWN and (score >= least or len(t) < SURE) for (lang, score), t in zip(said, texts)]
-            given = [g.as_py() or lang for g, (lang, _) in zip(batch.column(lang_at), said)]
+            enough = least * shared.value.coverage
+            stays = [lang != UNKNOWN and (bool(((share >= enough) & (share > 0)).any()) or len(t) < SURE) for (lang, _, share), t in zip(said, texts)]
+            given = [g.as_py() or lang for g, (lang, _, _) in zip(batch.column(lang_at), said)]
             yield batch.set_column(lang_at, lang_col, pa.array(given, pa.string())).filter(pa.array(stays, pa.bool_()))
 
     return docs.withColumn(lang_col, F.col(lang_col).cast("string")).mapInArrow(keep, docs.withColumn(lang_col, F.col(lang_col).cast("string")).schema)

@@ -425,6 +425,19 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert kept.columns == docs.columns and {0, 1, 2} & {r["doc_id"] for r in kept.collect()} == set()
 
 
+@pytest.mark.parametrize("labelled", [1, 2])
+def test_clean_texts_of_a_rare_language_stay(spark, labelled):
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = source.where("lang = 'es'").select("doc_id", "n_chars", langid.held_out("doc_id").alias("out")).orderBy("n_chars", "doc_id").collect()
+    learned = [r["doc_id"] for r in own if not r["out"] and r["n_chars"] >= 120][:labelled]
+    clean = [r["doc_id"] for r in own if r["doc_id"] not in learned and r["n_chars"] >= langid.SURE]
+    model = langid.fit(source.where((F.col("lang") != "es") | F.col("doc_id").isin(learned)))
+    kept = langid.keep_known(source.where(F.col("doc_id").isin(clean)), model)
+    assert "es" in model.languages and kept.count() == len(clean) > 100
+    junk = spark.createDataFrame([(1, "xq zzkw vvqj wpt " * 6, None), (2, "日本語のテキストです" * 8, None)], "doc_id long, text string, lang string")
+    assert langid.keep_known(junk, model).count() == 0
+
+
 def test_grams_do_not_depend_on_blocks():
     fold = langid.folding()
     text = "Ab  c!d éÉ -- x" * 7
