@@ -33,7 +33,7 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-#: Rounds of propagation, the share of a score that moves on, and the margin of distrust over trust that blocks.
+#: Rounds of propagation, the share of a score that moves on, and the margin of distrust over trust, as a share of trust, that blocks.
 ROUNDS = 8
 DAMPING = 0.85
 MARGIN = 1e-9
@@ -116,7 +116,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "p
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst").union(links.select(F.lit("distrust"), F.col("dst"), F.col("src")))
     scores = propagate(edges, seeds)
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    hosts = scores.groupBy("node").agg((part("distrust") > part("trust") + MARGIN).alias("bad"))
+    hosts = scores.groupBy("node").agg((part("distrust") > part("trust") * (1 + MARGIN)).alias("bad"))
     bad = hosts.where("bad").select(F.xxhash64("node").alias("key"), F.col("node").alias("bad_host"))
     joined = join_on_hot_key(parts.select("page_id", "host", "path", "said", F.xxhash64("host").alias("key")), bad, "key", "left")
     own = F.when(F.col("bad_host") == F.col("host"), "block").otherwise("allow")

@@ -457,6 +457,15 @@ def test_url_rules_and_propagation(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_url_verdict_does_not_depend_on_the_size_of_the_table(spark):
+    many = spark.range(15_000)
+    farm = many.select("id", F.format_string("http://f%d.net/", "id").alias("url"), F.lit("<a href='http://spam.com/'>y</a>").alias("html"))
+    rest = many.select((F.col("id") + 15_000).alias("id"), F.lit("http://big.com/de/x").alias("url"), F.lit("").alias("html"))
+    one = spark.createDataFrame([(30_000, "http://spam.com/de/x", "")], "id long, url string, html string")
+    out = urls.judge(farm.union(rest).union(one), id_col="id")
+    assert out.where("verdict = 'block'").count() == out.count() == 30_001
+
+
 # Pipeline
 
 
