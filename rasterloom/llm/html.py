@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element becomes a line. Lines of page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), lines
-outside the article, where the page marks one, and lines that are mostly links count no text.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count no
+text, nor do lines outside the article, where the page marks one, or else lines that are mostly
+links.
 Text lengths are summed over a sliding window of lines; the sum surges where running text
 begins and dives to nothing where it ends, and the lines with text in between are kept.
 """
@@ -37,6 +38,9 @@ _ABOUT = frozenset("has with no without is".split())
 _BODY = frozenset(("html", "body", "main"))
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)[^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Quoted values, which may hold anything; a link is an ``a`` with an ``href``, others are places.
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HREF = re.compile(r"(?:^|\s)href(?=[\s=/]|$)", re.I)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -71,7 +75,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, marks the article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, marks the article, is a link
     dropped = inside = links = 0
     marks = {"article": False, "main": False}
     at, end = 0, len(html)
@@ -90,10 +94,10 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
     def pop_to(depth: int) -> None:
         nonlocal dropped, inside, links
-        for tag, furniture, main in stack[depth:]:
+        for _, furniture, main, link in stack[depth:]:
             dropped -= furniture
             inside -= main
-            links -= tag == "a"
+            links -= link
         del stack[depth:]
 
     while at < end:
@@ -133,10 +137,11 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         main = not furniture and not dropped and (tag == "article" or tag == "main" or 'role="main"' in attributes)
         if main:
             marks["article" if tag == "article" else "main"] = True
-        stack.append((tag, furniture, main))
+        link = tag == "a" and bool(_HREF.search(_QUOTED.sub(" ", attributes)))
+        stack.append((tag, furniture, main, link))
         dropped += furniture
         inside += main
-        links += tag == "a"
+        links += link
     close()
     return lines, any(marks.values())
 
@@ -146,7 +151,7 @@ def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     if not html:
         return ""
     lines, marked = lines_of(html)
-    weights = [0 if marked and not inside or links * 2 > len(said) else len(said) for said, links, inside in lines]
+    weights = [len(said) if (inside if marked else links * 2 <= len(said)) else 0 for said, links, inside in lines]
     least = 1 if marked else surge
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     kept: list[str] = []

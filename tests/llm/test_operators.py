@@ -124,6 +124,13 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert [html.extract(x) for x in (None, "", "<p", "<a href='", "&lt;")] == [""] * 5 or html.extract("&lt;") == ""
 
 
+def test_links_of_an_article_are_text():
+    page = "<ul><li><a href=/>Home</a></ul><article><h2><a href=#m>Methods</a></h2><p><a name=p>Anchored.</a><p>Text.<ol><li><a href=x>Source one</a><li><a href=y>Source two</a></ol></article>"
+    assert html.extract(page) == "Methods\n\nAnchored.\n\nText.\n\nSource one\n\nSource two"
+    long = "Running text goes on here. " * 5
+    assert html.extract(f"<p><a name=top title='no href=x'>{long}</a></p><p><a\nHREF='/x'>More {long}</a></p>") == long.strip()
+
+
 def test_main_text_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</p><p>b</p></article>", 1), (1, None, None, 2), (None, "u", "", 3)], "page_id long, url string, html string, text long")
     rows = html.main_text(pages).collect()
