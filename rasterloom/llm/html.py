@@ -5,7 +5,9 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader com
 text, nor do lines outside the article, where the page marks one, or else lines that are mostly
 links.
 Text lengths are summed over a sliding window of lines; the sum surges where running text
-begins and dives to nothing where it ends, and the lines with text in between are kept.
+begins and dives to nothing where it ends. The lines with text from the first surge to the dive
+after the last are kept, and all of them on a page whose text is too short to surge. Tags that
+only wrap other blocks make no line; an empty block does.
 """
 
 from __future__ import annotations
@@ -77,18 +79,23 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     linked: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, marks the article, is a link
     dropped = inside = links = 0
+    opened = ""  # the block just opened, if nothing is in it yet
     marks = {"article": False, "main": False}
     at, end = 0, len(html)
 
     def text(piece: str) -> None:
+        nonlocal opened
+        if not piece.isspace() and piece:
+            opened = ""
         if piece and not dropped:
             parts.append(piece)
             if links:
                 linked.append(piece)
 
-    def close() -> None:
+    def close(empty: bool = False) -> None:
         said = " ".join(unescape("".join(parts)).split()) if parts else ""
-        lines.append((said, len(" ".join(unescape("".join(linked)).split())) if linked else 0, inside > 0))
+        if said or empty:
+            lines.append((said, len(" ".join(unescape("".join(linked)).split())) if linked else 0, inside > 0))
         parts.clear()
         linked.clear()
 
@@ -112,7 +119,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if found[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag not in _INLINE:
-                close()
+                close(tag == opened)
+                opened = ""
             if depth is not None:
                 pop_to(depth)
             continue
@@ -123,7 +131,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if tag == "br" or tag == "hr":
             text(" ")
         if tag not in _INLINE:
-            close()
+            close(tag == "hr")
+            opened = "" if tag in _VOID else tag
             implied = {"p"} if tag != "li" else {"p", "li"}
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in implied:
@@ -154,26 +163,30 @@ def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     weights = [len(said) if (inside if marked else links * 2 <= len(said)) else 0 for said, links, inside in lines]
     least = 1 if marked else surge
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    kept: list[str] = []
+    runs: list[tuple[list[str], bool]] = []
     run: list[str] = []
     high = False
     for (said, _, _), weight, total in zip(lines, weights, sums):
         if weight:
             run.append(said)
         high = high or total >= least
-        if not total:  # a dive: what ran up to here is text if it ever surged
-            if high:
-                kept += run
+        if not total:  # a dive
+            runs.append((run, high))
             run, high = [], False
-    if high:
-        kept += run
-    return "\n\n".join(kept)
+    runs.append((run, high))
+    surged = [i for i, (_, high) in enumerate(runs) if high]
+    if surged:
+        runs = runs[surged[0] : surged[-1] + 1]
+    elif not any(c.isalnum() for run, _ in runs for said in run for c in said):
+        return ""
+    return "\n\n".join(said for run, _ in runs for said in run)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page, from its whole html.
 
-    A null or empty html, and a page without running text, has the empty text and 0 characters.
+    A null or empty html, and a page without a letter or digit of text, has the empty text and 0
+    characters.
     Ids and urls are carried as they are, null and repeated ones too; extra columns are ignored.
     """
 

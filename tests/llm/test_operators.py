@@ -131,6 +131,16 @@ def test_links_of_an_article_are_text():
     assert html.extract(f"<p><a name=top title='no href=x'>{long}</a></p><p><a\nHREF='/x'>More {long}</a></p>") == long.strip()
 
 
+def test_unmarked_pages_keep_short_blocks():
+    long, menu = "Running text goes on here. " * 5, "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(4))
+    blocks = ["Heading", long.strip(), "Short.", "Also short.", long.strip(), "The end."]
+    wrapped = "".join(f"<div class=x>\n<div><p>{b}</p></div></div>" for b in blocks)
+    assert html.extract(f"<body><ul>{menu}</ul>{wrapped}<ul>{menu}</ul><p>Imprint</p>") == "\n\n".join(blocks)
+    parted = f"<p>{long}</p><ul>{menu}</ul><p>Between.</p><div></div><div></div><div></div><p>{long}</p>"
+    assert html.extract(parted) == f"{long.strip()}\n\nBetween.\n\n{long.strip()}"
+    assert html.extract(f"<ul>{menu}</ul><div><h1>News</h1></div><div><p>Closed today.</p></div>") == "News\n\nClosed today."
+
+
 def test_main_text_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</p><p>b</p></article>", 1), (1, None, None, 2), (None, "u", "", 3)], "page_id long, url string, html string, text long")
     rows = html.main_text(pages).collect()
