@@ -33,10 +33,12 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-#: Rounds of propagation, the share of a score that moves on, and the margin of distrust over trust, as a share of trust, that blocks.
+#: Rounds of propagation in the SQL, the share of a score that moves on, and the margin of distrust over trust, as a share of trust, that blocks.
 ROUNDS = 8
 DAMPING = 0.85
 MARGIN = 1e-9
+#: Propagation ends when no score changes by more than this share of it; what is still to come is then within the margin.
+TOLERANCE = MARGIN * (1 - DAMPING) / DAMPING
 #: Rounds between two checkpoints.
 _CUT_EVERY = 4
 #: Absolute links of a page's html; group 1 is the host.
@@ -78,26 +80,32 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.union(both).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Scores ``(kind, node, score)`` from ``edges(kind, src, dst)`` and ``seeds(kind, node, mass)``.
 
     A node hands its score in equal parts to the nodes it leads to and starts from its seed's
-    share in each round. ``kind`` keeps several graphs apart in one set of joins.
+    share in each round. ``kind`` keeps several graphs apart in one set of joins. Scores grow
+    from round to round; the rounds end when none grew by more than ``tolerance`` of itself, so
+    not before every node that a seed reaches, however far, has a score.
     """
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
-    start = cut(seeds.join(F.broadcast(total), "kind").select("kind", "node", (F.col("mass") / F.col("total")).alias("seed")))
+    start = cut(seeds.join(F.broadcast(total), "kind").select("kind", "node", (F.lit(1 - damping) * F.col("mass") / F.col("total")).alias("seed")))
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("out"))
     key = F.xxhash64("kind", "src")
     weighted = cut(join_on_hot_key(edges.withColumn("key", key), degree.select(key.alias("key"), "out"), "key").drop("key"))
-    score = start.select("kind", "node", F.col("seed").alias("score"))
-    for r in range(rounds):
-        state = score.select(F.xxhash64("kind", "node").alias("key"), "score")
-        moved = join_on_hot_key(weighted.withColumn("key", key), state, "key").select("kind", F.col("dst").alias("node"), (F.lit(damping) * F.col("score") / F.col("out")).alias("part"))
-        restart = start.select("kind", "node", (F.lit(1 - damping) * F.col("seed")).alias("part"))
-        score = moved.union(restart).groupBy("kind", "node").agg(F.sum("part").alias("score"))
-        if r % _CUT_EVERY == _CUT_EVERY - 1:
-            score = cut(score)
-    return score
+    restart, zero = start.select("kind", "node", F.col("seed").alias("part")), F.lit(0.0)
+    score, settled = start.select("kind", "node", F.col("seed").alias("score")), False
+    while not settled:
+        for r in range(_CUT_EVERY):
+            state = score.select(F.xxhash64("kind", "node").alias("key"), "score")
+            moved = join_on_hot_key(weighted.withColumn("key", key), state, "key").select("kind", F.col("dst").alias("node"), (F.lit(damping) * F.col("score") / F.col("out")).alias("part"))
+            parts = moved.union(restart).withColumn("last", zero)
+            if r == _CUT_EVERY - 1:
+                parts = parts.union(score.select("kind", "node", zero, "score"))
+            score = parts.groupBy("kind", "node").agg(F.sum("part").alias("score"), F.sum("last").alias("last"))
+        score = cut(score)
+        settled = score.where(F.col("score") - F.col("last") > F.lit(tolerance) * F.col("score")).isEmpty()
+    return score.select("kind", "node", "score")
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

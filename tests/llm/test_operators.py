@@ -483,6 +483,30 @@ def test_url_verdict_does_not_depend_on_the_size_of_the_table(spark):
     assert out.where("verdict = 'block'").count() == out.count() == 30_001
 
 
+def test_url_distrust_reaches_far_hosts(spark):
+    chain = [(i, f"http://h{i}.net/", f"<a href='http://{f'h{i - 1}.net' if i > 1 else 'spam.com'}/'>y</a>") for i in range(1, 16)]
+    frame = spark.createDataFrame([*chain, (0, "http://spam.com/de/x", "")], "page_id long, url string, html string")
+    assert {r["page_id"] for r in urls.judge(frame).where("verdict = 'block'").collect()} == set(range(16))
+
+
+def test_url_scores_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    links = {(k, int(a), int(b)) for k in "tu" for a, b in rng.integers(0, 30, (50, 2)) if a != b}
+    mass = {(k, int(n)): float(rng.integers(1, 9)) for k in "tu" for n in rng.integers(0, 30, 4)}
+    edges = spark.createDataFrame([(k, f"h{a}", f"h{b}") for k, a, b in links], "kind string, src string, dst string")
+    seeds = spark.createDataFrame([(k, f"h{n}", m) for (k, n), m in mass.items()], "kind string, node string, mass double")
+    got = {(r["kind"], r["node"]): r["score"] for r in urls.propagate(edges, seeds).collect()}
+    for kind in "tu":
+        move, seed = np.zeros((30, 30)), np.zeros(30)
+        for k, a, b in links:
+            if k == kind:
+                move[b, a] = 1 / sum(x == (kind, a) for x in ((y[0], y[1]) for y in links))
+        for (k, n), m in mass.items():
+            seed[n] += m * (k == kind)
+        want = np.linalg.solve(np.eye(30) - urls.DAMPING * move, (1 - urls.DAMPING) * seed / seed.sum())
+        assert np.allclose([got.get((kind, f"h{n}"), 0.0) for n in range(30)], want, rtol=1e-8, atol=0)
+
+
 # Pipeline
 
 
