@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-One Bloom filter per language, stored bit-sliced: slot i of a single table holds one bit per
-language, so each n-gram of a text is looked up once for all languages, and the bitwise AND of
+One Bloom filter per language, stored bit-sliced: slot i of a table holds one bit for each of up
+to 64 languages (further languages take further tables), so each n-gram of a text is looked up once for all languages, and the bitwise AND of
 its slots names the languages that contain it. Per-language popcounts over the text, corrected
 for the filters' false positives, decide.
 """
@@ -37,7 +37,7 @@ BLOCK = 1 << 20
 
 class Model(NamedTuple):
     languages: list[str]
-    slots: np.ndarray  # bit l of slots[i]: language l has an n-gram that hashes to i
+    slots: list[np.ndarray]  # bit l of slots[t][i]: language 64 t + l has an n-gram that hashes to i
     false_rate: np.ndarray
     coverage: np.ndarray  # expected share of the n-grams of further texts of the language that its sample holds
     fold: np.ndarray
@@ -91,12 +91,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = rows.select("id", "lang")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("held")).limit(65)  # languages are few: more than 64 fail below
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("held"))
     likely = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1.5 * sample + 100) / F.col("held") * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
     chosen = labelled.join(F.broadcast(counts), "lang").where(likely).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", F.col("lang").alias("as_lang")).distinct()
     same = (F.col("id") == F.col("as_id")) & (F.col("lang") == F.col("as_lang"))
-    learned = rows.join(F.broadcast(chosen.withColumnRenamed("id", "as_id")), same, "left_semi")  # `sample` rows for each of 64 languages at most
+    learned = rows.join(F.broadcast(chosen.withColumnRenamed("id", "as_id")), same, "left_semi")  # `sample` rows for each language at most
     fold = folding()
     shared = docs.sparkSession.sparkContext.broadcast(fold)
 
@@ -115,22 +115,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     again = {r["lang"]: r["again"] for r in counting(words).groupBy("lang").agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("again")).collect()}
     total = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     frequent = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
-    table = frequent.select("lang", "gram", "n").toPandas()
-    languages = sorted(table["lang"].unique())
-    if len(languages) > 64:
-        raise ValueError("the bitmask holds 64 languages at most")
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(k).itemsize * 8)
-    slots, filled, coverage = np.zeros(1 << SLOT_BITS, dtype=kind), [], []
+    languages = sorted(total)
+    slots, filled, coverage = [], [], []
     if languages:
+        number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+        table = frequent.select(number.cast("int").alias("lang"), "gram", "n").toPandas()
         rate = table["n"] / table.groupby("lang")["n"].transform("sum")
         within = table[rate >= SHARE * rate.groupby(table["gram"]).transform("max")]
-        for i, lang in enumerate(languages):
-            held = within[within["lang"] == lang]
-            coverage.append(again.get(lang, 0.0) * float(held["n"].sum()) / total[lang])
-            own = held["gram"].to_numpy().astype(np.int64).view(np.uint64)
-            for multiplier in MULTIPLIERS:
-                slots[_slot(own, multiplier, SLOT_BITS)] |= kind(1 << i)
-            filled.append(float(((slots >> kind(i)) & kind(1)).mean()))
+        by_language = dict(list(within.groupby("lang")))
+        for first in range(0, len(languages), 64):
+            here = languages[first : first + 64]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(here) <= np.dtype(k).itemsize * 8)
+            masks = np.zeros(1 << SLOT_BITS, dtype=kind)
+            for i, lang in enumerate(here):
+                held = by_language.get(first + i, within[:0])
+                coverage.append(again.get(lang, 0.0) * float(held["n"].sum()) / total[lang])
+                own = held["gram"].to_numpy().astype(np.int64).view(np.uint64)
+                for multiplier in MULTIPLIERS:
+                    masks[_slot(own, multiplier, SLOT_BITS)] |= kind(1 << i)
+                filled.append(float(((masks >> kind(i)) & kind(1)).mean()))
+            slots.append(masks)
     return Model(languages, slots, np.array(filled) ** len(MULTIPLIERS), np.array(coverage), fold)
 
 
@@ -142,14 +146,17 @@ def _judge(text: str | None, model: Model) -> tuple[str, float, np.ndarray]:
     letters, hits = 0, np.zeros(len(model.languages), dtype=np.int64)
     for found in grams(text or "", model.fold):
         letters += len(found)
-        masks = model.slots[_slot(found, MULTIPLIERS[0], SLOT_BITS)]
-        for multiplier in MULTIPLIERS[1:]:
-            masks &= model.slots[_slot(found, multiplier, SLOT_BITS)]
-        if len(hits) <= 8:
-            per_mask = np.bincount(masks, minlength=256)
-            hits += [int(per_mask[(np.arange(256) >> i) & 1 == 1].sum()) for i in range(len(hits))]
-        else:
-            hits += [int(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).sum()) for i in range(len(hits))]
+        at = [_slot(found, multiplier, SLOT_BITS) for multiplier in MULTIPLIERS]
+        for t, slots in enumerate(model.slots):
+            masks = slots[at[0]]
+            for other in at[1:]:
+                masks &= slots[other]
+            here = hits[64 * t : 64 * t + 64]
+            if masks.dtype == np.uint8:
+                per_mask = np.bincount(masks, minlength=256)
+                here += [int(per_mask[(np.arange(256) >> i) & 1 == 1].sum()) for i in range(len(here))]
+            else:
+                here += [int(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).sum()) for i in range(len(here))]
     if not letters and text:  # fewer characters than an n-gram has
         known = any(model.fold[ord(c)] != 32 for c in text)
         return (model.languages[0], 0.0, none) if known else (UNKNOWN, 0.0, none)

@@ -455,6 +455,13 @@ def test_clean_texts_of_a_rare_language_stay(spark, labelled):
     assert langid.keep_known(junk, model).count() == 0
 
 
+def test_more_languages_than_a_mask_holds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(chr(0x4E00 + 6 * (i % 70) + int(c)) for c in rng.integers(0, 6, 400)), f"l{i % 70}") for i in range(420)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r["lang_pred"] for r in out}) == 70 and all(r["lang_pred"] == f"l{r['doc_id'] % 70}" for r in out)
+
+
 def test_grams_do_not_depend_on_blocks():
     fold = langid.folding()
     text = "Ab  c!d éÉ -- x" * 7
