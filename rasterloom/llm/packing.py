@@ -35,8 +35,11 @@ CHUNK = 8_000_000
 LOOSE = 16
 END_ID = 0
 
+#: White space in a row that the faster library's pattern is given at most; it keeps a state for each character of a run.
+_MOST_SPACE = 1 << 18
 #: Characters whose class no Unicode version changes; texts with others go to the library itself.
 _SETTLED = re.compile("[\x00-\x1b\x20-ɏ‐-‧‰-⁞€]*")
+_SPACE = re.compile(r"\s+")
 #: The pattern that byte-level tokenizers cut words by.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -47,7 +50,8 @@ def encoder(definition: str, ordinary: bool = False) -> Callable[[str], np.ndarr
     ``ordinary``: special tokens' strings in a text are text like any other.
 
     The merges run in the faster of two libraries with one vocabulary; a text with a special
-    token in it or with characters whose class depends on a Unicode version goes to the other.
+    token in it, with characters whose class depends on a Unicode version, or with a very long
+    run of white space goes to the other.
     """
     said = json.loads(definition)
     special = {t["content"] for t in said["added_tokens"]}
@@ -61,7 +65,8 @@ def encoder(definition: str, ordinary: bool = False) -> Callable[[str], np.ndarr
     def encode(text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if _SETTLED.fullmatch(text) and (ordinary or not any(s in text for s in special)):
+        spaced = len(text) > _MOST_SPACE and any(m.end() - m.start() > _MOST_SPACE for m in _SPACE.finditer(text))
+        if not spaced and _SETTLED.fullmatch(text) and (ordinary or not any(s in text for s in special)):
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
         return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
