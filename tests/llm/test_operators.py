@@ -432,6 +432,44 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.99 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def brute_language(text, sets, space=" "):
+    """Shares of the n-grams of a text in each language's set, n-gram by n-gram."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else space for c in text or "")
+    folded = " " + " ".join(low.split(" ")) + " " if low.strip() else " "
+    while "  " in folded:
+        folded = folded.replace("  ", " ")
+    own = [folded[i : i + langid.N] for i in range(len(folded) - langid.N + 1)]
+    return own, {lang: sum(g in held for g in own) / max(len(own), 1) for lang, held in sets.items()}
+
+
+def test_language_by_brute_force(spark):
+    """All predictions and scores against exact sets of n-grams instead of filters, no sampling, no hashes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in rows:
+        if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for g in brute_language(r["text"], {})[0]:
+                own = counts.setdefault(r["lang"], {})
+                own[g] = own.get(g, 0) + 1
+    total = {lang: sum(own.values()) for lang, own in counts.items()}
+    rate = {lang: {g: n / total[lang] for g, n in own.items()} for lang, own in counts.items()}
+    most = {}
+    for own in rate.values():
+        for g, r in own.items():
+            most[g] = max(most.get(g, 0), r)
+    sets = {lang: {g for g, r in own.items() if r >= langid.SHARE * most[g]} for lang, own in sorted(rate.items())}
+    out = {r["doc_id"]: r for r in queries.op9_language_id(spark, "/root/testdata/sf0.01").collect()}
+    for r in rows:
+        own, share = brute_language(r["text"], sets)
+        got = out[r["doc_id"]]
+        if not own:
+            assert got["score"] == 0
+            continue
+        best = max(share, key=share.get)
+        slack = 0.01 + 3 * (0.01 / len(own)) ** 0.5  # false positives of the filters
+        assert abs(got["score"] - share[got["lang_pred"]]) <= slack and share[got["lang_pred"]] >= share[best] - slack, r["doc_id"]
+
+
 def test_language_of_odd_rows(spark, docs, empty):
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
@@ -447,7 +485,7 @@ def test_clean_texts_of_a_rare_language_stay(spark, labelled):
     source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     own = source.where("lang = 'es'").select("doc_id", "n_chars", langid.held_out("doc_id").alias("out")).orderBy("n_chars", "doc_id").collect()
     learned = [r["doc_id"] for r in own if not r["out"] and r["n_chars"] >= 120][:labelled]
-    clean = [r["doc_id"] for r in own if r["doc_id"] not in learned and r["n_chars"] >= langid.SURE]
+    clean = [r["doc_id"] for r in own if r["doc_id"] not in learned and r["n_chars"]]
     model = langid.fit(source.where((F.col("lang") != "es") | F.col("doc_id").isin(learned)))
     kept = langid.keep_known(source.where(F.col("doc_id").isin(clean)), model)
     assert "es" in model.languages and kept.count() == len(clean) > 100
