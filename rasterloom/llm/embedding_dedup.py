@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
-from .vectors import TILE, batches_of, matrix, sample, split_column, tiles, unpack, usable
+from .vectors import batches_of, matrix, sample, split_column, tiles, unpack, usable
 
 LEAST_COSINE = 0.9
-BLOCKS = 8
+BLOCKS = 4
+#: Components, and rows, of a tile; each pair of tiles travels to a task of its own, so larger ones travel less.
+TILE_SIZE, TILE_LEAST, TILE_MOST = 1 << 19, 512, 8192
 #: Leaves of the tree, at most: they and their pairs are known to the driver.
 MOST_LEAVES = 1024
 #: Rows of one tile compared at a time; single-precision error that a block's share is widened by.
@@ -48,7 +50,13 @@ class Subspaces(NamedTuple):
         return len(self.low)
 
 
+def tile_rows(dim: int) -> int:
+    return max(TILE_LEAST, min(TILE_MOST, TILE_SIZE // dim))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; first scaled by their largest component, whose square may be beyond doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -60,7 +68,7 @@ def fit(x: np.ndarray, first: int, rows: int, limit: float, blocks: int = BLOCKS
     spread = np.maximum(spread[::-1], 1e-12)
     edges = np.linspace(0, dim, min(blocks, dim) + 1).astype(int).tolist()
     weight = np.array([spread[a:b].sum() for a, b in zip(edges, edges[1:])])
-    depth = max(0, min(int(np.ceil(np.log2(max(1, rows) / TILE))), int(np.log2(MOST_LEAVES)), int(np.log2(max(1, len(x) // 8)))))
+    depth = max(0, min(int(np.ceil(np.log2(max(1, rows) / tile_rows(dim)))), int(np.log2(MOST_LEAVES)), int(np.log2(max(1, len(x) // 8)))))
     y, node = x @ rotation, np.zeros(len(x), dtype=np.int64)
     axis, at = np.zeros((1 << depth) - 1, dtype=np.int64), np.zeros((1 << depth) - 1)
     low, high = np.full((2 << depth, dim), -np.inf), np.full((2 << depth, dim), np.inf)
@@ -133,11 +141,11 @@ def compare(x: np.ndarray, y: np.ndarray, same: bool, blocks: int, space: Subspa
         if same:
             near &= np.arange(at, at + len(near))[:, None] < np.arange(len(y))[None, :]
         i, j = np.nonzero(near)
-        if len(i) > 50_000:
-            i, j = np.nonzero(near & (x[at : at + STRIP] @ y.T >= least))
-        else:
-            fine = np.einsum("ij,ij->i", x[i + at], y[j]) >= least
-            i, j = i[fine], j[fine]
+        fine = np.ones(len(i), dtype=bool)
+        for k in range(0, len(i), 1 << 16):  # one formula for all pairs, in bounded memory
+            some = slice(k, k + (1 << 16))
+            fine[some] = np.einsum("ij,ij->i", x[i[some] + at], y[j[some]]) >= least
+        i, j = i[fine], j[fine]
         if len(i):
             np.add.at(links, i + at, 1)
             np.add.at(links, j + (0 if same else n), 1)
@@ -152,7 +160,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     empty, zero or hold a null or non-finite component link with nothing, and vectors of
     different lengths do not link. Each row counts for itself, also where ids or vectors repeat.
     ``component_id`` is the smallest id reachable; null ids are passed over in it, and a null id
-    is kept only where nothing else is reachable. Extra columns are ignored.
+    is kept only where nothing else is reachable. Extra columns are ignored; an empty table gives
+    an empty table.
     """
     spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -165,20 +174,20 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         first += spaces[dim].leaves
     if not spaces:
         return _alone(plain)
-    shared = spark.sparkContext.broadcast(spaces)
+    shared = spark.sparkContext.broadcast({dim: tuple(space) for dim, space in spaces.items()})  # plain, for workers without this package
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("vector").value_lengths().to_numpy()
             for dim in np.unique(lengths).tolist():
                 own = batch.filter(pa.array(lengths == dim))
-                space = shared.value[dim]
+                space = Subspaces(*shared.value[dim])
                 leaf = leaf_of(unit(matrix(own.column("vector"), dim)) @ space.rotation, space)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), own.column("id"), own.column("vector")], names=["leaf", "id", "vector"])
 
     dealt = cut(good.mapInArrow(deal, "leaf long, id long, vector array<double>"))
     counts = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    built = cut(tiles(dealt.withColumn("part", split_column(counts, "leaf")), ["leaf", "part"]).withColumn("tile", F.shiftleft("leaf", 20) + F.col("part")))
+    built = cut(tiles(dealt.withColumn("part", split_column(counts, "leaf", min(map(tile_rows, spaces)))), ["leaf", "part"]).withColumn("tile", F.shiftleft("leaf", 20) + F.col("part")))
     listed = [(i, j, b) if (i + j) % 2 == 0 else (j, i, b) for s in spaces.values() for i, j, b in leaf_pairs(s)]  # each leaf comes second in half of its pairs
     pairs = spark.createDataFrame(listed, "i long, j long, blocks long")
     a, b = (built.select(F.col("leaf").alias(leaf), F.col("tile").alias(f"t{leaf}")) for leaf in "ij")
@@ -190,7 +199,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         for row in batches_of(batches):
             x, y = (unit(unpack(row[f"body_{k}"], row["dim"], row[f"kind_{k}"])) for k in "ij")
             same = row["ti"] == row["tj"]
-            links, root = compare(x, y, same, row["blocks"], shared.value[row["dim"]], least)
+            links, root = compare(x, y, same, row["blocks"], Subspaces(*shared.value[row["dim"]]), least)
             some = np.flatnonzero(links)
             if len(some):
                 node = np.concatenate(((row["ti"] << 20) + np.arange(len(x)), (row["tj"] << 20) + np.arange(len(y))))
@@ -201,7 +210,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     linked = nodes.join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
     least_id = linked.join(roots, "node").groupBy("top").agg(F.min("id").alias("component_id"))
-    named = linked.join(roots, "node").join(least_id.withColumnRenamed("top", "of"), F.col("top").bitwiseXOR(F.lit(1 << 61)) == F.col("of").bitwiseXOR(F.lit(1 << 61)))
+    named = linked.join(roots, "node").join(least_id.withColumnRenamed("top", "of").hint("merge"), F.col("top").bitwiseXOR(F.lit(1 << 61)) == F.col("of").bitwiseXOR(F.lit(1 << 61)))
     free = nodes.join(found.select("node").distinct(), "node", "left_anti").select("id")
     joined = named.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return joined.union(_alone(free)).union(_alone(plain.where(~able)))

@@ -31,6 +31,8 @@ MOST_RINGS = 4096
 QUERIES = 512
 FIRST_ROWS = 2 * TILE
 _ROUNDS = 8
+#: Squared lengths from here on have scores that no long holds.
+MOST_LIFT = 2.0**63
 
 
 class Index(NamedTuple):
@@ -99,13 +101,21 @@ def bounds(queries: np.ndarray, index: Index, rings: Rings) -> np.ndarray:
     at = np.hstack((queries, np.zeros((len(queries), 1))))
     far = _distances(at, index.pivots)[:, rings.pivot]
     gap = np.maximum(0.0, np.maximum(far - rings.most, rings.least - far))
-    gap = np.maximum(0.0, gap * (1 - 1e-9) - 1e-6)
-    return ((queries**2).sum(axis=1)[:, None] + index.lift - gap**2) / 2 + 1.0
+    gap = np.maximum(0.0, gap * (1 - 1e-9) - 1e-6 * (1 + np.sqrt(index.lift)))
+    both = (queries**2).sum(axis=1)[:, None] + index.lift
+    return (both - gap**2) / 2 + 1.0 + 1e-12 * both
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id; fewer if there are fewer."""
-    held = np.flatnonzero(scores > -np.inf)
+def products(a: np.ndarray, b: np.ndarray, exact: bool) -> tuple[np.ndarray, float | int]:
+    """Inner products of all rows, in doubles where these are exact, else in long; and what is below all of them."""
+    if exact:
+        return a @ b.T, -np.inf
+    return a.astype(np.int64) @ b.astype(np.int64).T, np.iinfo(np.int64).min
+
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int, none: float | int = -np.inf) -> np.ndarray:
+    """Positions of the k highest scores above ``none``, ties to the smaller id; fewer if there are fewer."""
+    held = np.flatnonzero(scores > none)
     if len(held) > k:
         held = held[scores[held] >= np.partition(scores[held], len(held) - k)[len(held) - k]]
     return held[np.lexsort((ids[held], -scores[held]))][:k]
@@ -131,8 +141,10 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     id. The score is the inner product of the components' floor(256 x). Vectors that are null,
     empty or hold a null or non-finite component take no part; vectors of different lengths are
     not compared. A null id takes no part. A query id that repeats is one query for each
-    distinct vector, answered as one list; ties go to the smaller id. Components are taken to
-    stay below 2**23 in size, so that sums of doubles are exact. Extra columns are ignored.
+    distinct vector, answered as one list; ties go to the smaller id. Scores are exact: where the
+    largest squared length is too large for doubles, products are summed in integers, and where
+    it is too large for a long, the query fails. Extra columns are ignored; an empty table gives
+    an empty table.
     """
     spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable("vector"))
@@ -155,13 +167,15 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int) -> DataFrame:
     """Hits ``(query_id, vec_id, score)`` among vectors of one length that hold each query's k best."""
-    spark = good.sparkSession
+    if lift >= MOST_LIFT:
+        raise ValueError(f"inner products of vectors of squared length {lift:g} are past a long")
+    spark, exact = good.sparkSession, lift < 2.0**53  # no sum of products is larger than the largest squared length
     index = fit(sample(good, "vector", dim), lift, n)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(tuple(index))  # plain, for workers without this package
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pivot, far, ring = place(matrix(batch.column("vector"), dim), shared.value)
+            pivot, far, ring = place(matrix(batch.column("vector"), dim), Index(*shared.value))
             yield pa.RecordBatch.from_arrays([pa.array(ring, pa.int64()), pa.array(pivot, pa.int64()), pa.array(far), batch.column("id"), batch.column("vector")], names=["ring", "pivot", "far", "id", "vector"])
 
     dealt = cut(good.mapInArrow(deal, "ring long, pivot long, far double, id long, vector array<double>"))
@@ -178,25 +192,25 @@ def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int)
     asked = asked.withColumn("group", group.cast("long"))
     packs = tiles(asked.withColumn("pack", split_column(sizes, "group", QUERIES)), ["group", "pack"])
     packs = cut(packs.withColumn("pack", F.shiftleft("group", 32) + F.col("pack")).drop("group"))
-    known_rings = spark.sparkContext.broadcast(rings)
+    known_rings = spark.sparkContext.broadcast(tuple(rings))
 
     def nearest(body: np.ndarray) -> np.ndarray:
         """Annuli for the first expansion: the most promising ones with enough rows."""
-        held = known_rings.value
-        order = np.argsort(-bounds(body, shared.value, held).mean(axis=0), kind="stable")
+        held = Rings(*known_rings.value)
+        order = np.argsort(-bounds(body, Index(*shared.value), held).mean(axis=0), kind="stable")
         return order[: int(np.searchsorted(np.cumsum(held.rows[order]), FIRST_ROWS)) + 1]
 
     def expand_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
-            chosen = known_rings.value.ring[nearest(unpack(row["body"], dim, row["kind"]))]
+            chosen = Rings(*known_rings.value).ring[nearest(unpack(row["body"], dim, row["kind"]))]
             yield pa.RecordBatch.from_arrays([pa.array([row["pack"]] * len(chosen), pa.int64()), pa.array(chosen, pa.int64())], names=["pack", "ring"])
 
     def expand_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
-            body, held = unpack(row["body"], dim, row["kind"]), known_rings.value
+            body, held = unpack(row["body"], dim, row["kind"]), Rings(*known_rings.value)
             least = {r["query_id"]: r["score"] for r in row["least"] or []}
             limit = np.array([least.get(i, -np.inf) for i in row["ids"]])
-            open_rings = (bounds(body, shared.value, held) >= limit[:, None]).any(axis=0)
+            open_rings = (bounds(body, Index(*shared.value), held) >= limit[:, None]).any(axis=0)
             open_rings[nearest(body)] = False
             chosen = held.ring[open_rings]
             yield pa.RecordBatch.from_arrays([pa.array([row["pack"]] * len(chosen), pa.int64()), pa.array(chosen, pa.int64())], names=["pack", "ring"])
@@ -204,11 +218,11 @@ def _search(good: DataFrame, dim: int, n: int, lift: float, every: int, k: int)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batches_of(batches):
             asked_ids, ids = np.array(row["asked"]), np.array(row["ids"])
-            products = unpack(row["asked_body"], dim, row["asked_kind"]) @ unpack(row["body"], dim, row["kind"]).T
-            products[asked_ids[:, None] == ids[None, :]] = -np.inf
-            hits = [best(line, ids, k) for line in products]
+            scores, none = products(unpack(row["asked_body"], dim, row["asked_kind"]), unpack(row["body"], dim, row["kind"]), exact)
+            scores[asked_ids[:, None] == ids[None, :]] = none
+            hits = [best(line, ids, k, none) for line in scores]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(asked_ids, [len(h) for h in hits])), pa.array(ids[np.concatenate(hits)]), pa.array(np.concatenate([line[h] for line, h in zip(products, hits)]).astype(np.int64))],
+                [pa.array(np.repeat(asked_ids, [len(h) for h in hits])), pa.array(ids[np.concatenate(hits)]), pa.array(np.concatenate([line[h] for line, h in zip(scores, hits)]).astype(np.int64))],
                 names=["query_id", "vec_id", "score"],
             )
 

@@ -57,10 +57,14 @@ def tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_column(counts: dict[int, int], key: str, size: int = TILE) -> Column:
-    """The number of the part, of about ``size`` rows, that a row of group ``key`` falls in."""
+    """The number of the part, of about ``size`` rows, that a row of group ``key`` falls in.
+
+    Rows are dealt by their place in the table, so equal rows part as well; the table must lie in
+    checkpointed files, where places stay.
+    """
     spark_map = F.create_map(*(F.lit(x) for k, n in counts.items() if n > size for x in (k, -(-n // size)))) if any(n > size for n in counts.values()) else None
     parts = F.coalesce(F.element_at(spark_map, F.col(key)), F.lit(1)) if spark_map is not None else F.lit(1)
-    return F.pmod(F.xxhash64("id", "vector"), parts.cast("long")).cast("int")
+    return F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), parts.cast("long")).cast("int")
 
 
 def narrowest(body: np.ndarray) -> str:

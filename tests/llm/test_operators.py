@@ -3,9 +3,13 @@
 import hashlib
 import itertools
 import json
+import os
 import re
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -18,6 +22,7 @@ from rasterloom.llm import bpe, embedding_dedup, html, langid, packing, queries,
 from rasterloom.llm.common import components
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 ODD = [None, "", "  ", " a", "a  b c\n d", "x <|endoftext|> y", "\0\0foo \0bar \0\0baz", "é\u180e   z", "can't  won't ", "日本 語\t\t x", "ab" * 3000, "\x1c \x1d a", " \n", "🙂 🙂🙂", "password=abc123x", "password=abc123x"]
 
 
@@ -248,6 +253,17 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    ints = rng.integers(-1_000_000, 1_000_000, (120, 4)) * 1.0
+    ints[7] = [1_000_000, 1_000_000, 1, 1 / 256]
+    rows = [(i, v.tolist()) for i, v in enumerate(ints)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame).collect())) == slow_top_k(rows)
+    with pytest.raises(ValueError, match="past a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0])], "vec_id long, embedding array<double>"))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = np.floor(256 * rng.normal(0, 0.2, (500, 8)))
@@ -271,6 +287,14 @@ def test_embedding_links_match_brute_force(spark):
     assert all(rows[i]["n_links"] == near[i].sum() - 1 and rows[i]["component_id"] == root[i] and rows[i]["kept"] == (root[i] == i) for i in range(len(x)))
 
 
+def test_links_of_tiny_and_huge_vectors(spark):
+    """Lengths whose squares no double holds, and copies with one id, more than a tile takes."""
+    rows = [(0, [1e-200, 0.0]), (1, [2e-200, 0.0]), (2, [1e200, 1e199]), (3, [0.0, -1e-300]), (4, [5e-324, 0.0])] + [(9, [0.0, 1.0])] * 40
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    links = {r["vec_id"]: r["n_links"] for r in out}
+    assert len(out) == 45 and links == {0: 3, 1: 3, 2: 3, 3: 0, 4: 3, 9: 39}
+
+
 def test_leaves_and_blocks_lose_no_pair():
     rng = np.random.default_rng(3)
     x = embedding_dedup.unit(rng.normal(0, 1, (900, 12)))
@@ -316,6 +340,50 @@ def test_bpe_matches_the_library(spark, docs, empty, definition):
     assert sorted(r["decoded"] for r in both.collect()) == sorted(r["decoded"] for r in rows)
 
 
+LONG = ["\n" * 1_000_000, " " * 1_200_000, "ab cd. " * 500_000, "x" * 300_000, "é ü 日本 " * 300_000, "password=abcdef " * 40_000, "0" * 2_000_000]
+
+
+def test_texts_of_millions_of_characters(spark, definition):
+    frame = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(4)
+    tokenizer = Tokenizer.from_str(definition)
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in LONG]
+    for r in bpe.round_trip(frame, definition).collect():
+        assert bytes(r["ids"]) == struct.pack(f"<{len(ids[r['doc_id']])}I", *ids[r["doc_id"]]) and r["decoded"] == LONG[r["doc_id"]]
+    held = {}
+    for r in packing.pack(frame, definition).collect():
+        held.setdefault(r["doc_id"], {})[r["start"]] = bytes(r["ids"])
+    for i, own in held.items():
+        assert b"".join(own[k] for k in sorted(own)) == struct.pack(f"<{len(ids[i]) + 1}I", *ids[i], 0)
+    for r in secrets.scan(frame).collect():
+        assert (r["n_assign"], r["n_hex"]) == {5: (40_000, 0), 6: (0, 1)}.get(r["doc_id"], (0, 0))
+    redacted = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert redacted[5] == "<assign> " * 40_000 and redacted[6] == "<hex>" and redacted[2] == LONG[2]
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(frame).collect()}
+    assert prints[0] == prints[1] == "0" * 16 and prints[6] != prints[2]
+    said = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame).collect()}
+    assert len(said) == len(LONG) and said[0] == said[1] == said[6] == "und"
+    pages = spark.createDataFrame([(0, "u", "<p>" + LONG[2] + "</p>"), (1, "u", "<div>" * 300_000 + "deep" + "</div>" * 300_000), (2, "u", "<b><p>" * 200_000 + "open")], "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert text == {0: LONG[2].strip(), 1: "deep", 2: "open"}
+
+
+def test_workers_need_no_package(tmp_path):
+    """Only the driver finds the package: queries run from another folder, with no path set for workers."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from rasterloom.llm import queries
+for name in sorted(queries.QUERIES):
+    print(name, queries.QUERIES[name](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert len(done.stdout.split()) == 20
+
+
 def test_decoding_of_broken_bytes(spark, definition):
     frame = spark.createDataFrame([(1, struct.pack("<2I", 187, 10**6)), (2, None), (3, b"")], "doc_id long, ids binary")
     said = {r["doc_id"]: r["decoded"] for r in bpe.decode(frame, definition).collect()}
