@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), ledger_path=shared_path(spark, "secret-ledger"))
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from .common import cut
 
 
 class Rule(NamedTuple):
@@ -41,7 +44,9 @@ RULES = (
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh"),
 )
 LEDGER = "blob string, kind string, version int"
-FINDINGS = "blob string, kind string, version int, start long, end long"
+FINDINGS = "blob string, kind string, version int, start long, end long, byte_start long, byte_end long"
+#: Unseen blobs, of some 150 bytes each, that are broadcast to pick their contents out before these are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def _text(column: str) -> Column:
@@ -71,10 +76,11 @@ def _applies(rule: Rule) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings ``(blob, kind, version, start, end)`` in ``blobs(blob, content, todo)``.
+    """Findings ``(blob, kind, version, start, end, byte_start, byte_end)`` in ``blobs(blob, content, todo)``.
 
-    Offsets count code points, the end is exclusive. A match starts after the gaps and matches
-    before it: splitting at a pattern gives the gaps, extracting it the matches.
+    Offsets count code points, and bytes of UTF-8; the end is exclusive. A match starts after the
+    gaps and matches before it: splitting at a pattern gives the gaps, extracting it the matches.
+    Only contents in which some rule matches are extracted and split.
     """
     hit = F.lit(False)
     for rule in rules:
@@ -89,44 +95,65 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 F.lit(rule.least).alias("least"),
                 F.lit(rule.pattern).alias("pattern"),
                 F.when(_applies(rule), F.regexp_extract_all("content", F.lit(rule.pattern), F.lit(0))).otherwise(none).alias("hits"),
-                F.when(_applies(rule), F.transform(F.split("content", rule.pattern, -1), F.char_length)).alias("gaps"),
+                F.when(_applies(rule), F.transform(F.split("content", rule.pattern, -1), lambda g: F.struct(F.char_length(g).alias("long"), F.octet_length(g).alias("bytes")))).alias("gaps"),
             )
             for rule in rules
         )
     )
     each = blobs.where(hit).select("blob", F.explode(tried).alias("t")).where("t.hits is not null")
     each = each.select("blob", "t.kind", "t.version", "t.group", "t.least", F.posexplode(F.arrays_zip("t.hits", "t.gaps")).alias("at", "m"))
-    each = each.where("m.hits is not null").select("*", F.char_length("m.hits").cast("long").alias("long"))
+    each = each.where("m.hits is not null").select("*", F.char_length("m.hits").cast("long").alias("long"), F.octet_length("m.hits").cast("long").alias("bytes"))
     own = "(partition by blob, kind order by at rows between unbounded preceding and current row)"
-    each = each.withColumn("end", F.expr(f"sum(m.gaps) over {own} + sum(long) over {own}"))
+    each = each.withColumns({"end": F.expr(f"sum(m.gaps.long) over {own} + sum(long) over {own}"), "byte_end": F.expr(f"sum(m.gaps.bytes) over {own} + sum(bytes) over {own}")})
     judged = F.lit(None).cast("int")
     for rule in rules:
         value = F.regexp_extract("m.hits", rule.pattern, rule.group) if rule.group else F.col("m.hits")
         judged = F.when(F.col("kind") == rule.kind, F.char_length(value)).otherwise(judged)
-    return each.where(judged >= F.col("least")).select("blob", "kind", "version", (F.col("end") - F.col("long")).alias("start"), "end")
+    return each.where(judged >= F.col("least")).select("blob", "kind", "version", (F.col("end") - F.col("long")).alias("start"), "end", (F.col("byte_end") - F.col("bytes")).alias("byte_start"), "byte_end")
 
 
-def scan_incremental(spark: SparkSession, versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def scan_incremental(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Scan what the ledger below ``ledger_path`` has not seen and return all findings of ``rules`` in the blobs of ``versions``.
 
-    Findings are appended before the ledger names their blobs as done, so a run that is broken
-    off repeats work but loses nothing; repeated findings are merged when read.
+    Hashes alone are held against the ledger; contents are read for unseen blobs only, and leave
+    their partition only then. Findings are appended before the ledger names their blobs as done,
+    so a run that is broken off repeats work but loses nothing; repeated findings are merged when
+    read.
     """
+    spark = versions.sparkSession
     found_path, done_path = f"{ledger_path}/findings", f"{ledger_path}/scanned"
-    blobs = blobs_of(versions, text_col)
-    todo = _unseen(blobs, _table(spark, done_path, LEDGER), rules)
-    scan_blobs(todo, rules).write.mode("append").parquet(found_path)
-    done = todo.select("blob", F.explode("todo").alias("t")).select("blob", F.substring_index("t", "@", 1).alias("kind"), F.substring_index("t", "@", -1).cast("int").alias("version"))
-    done.write.mode("append").parquet(done_path)
-    spark.catalog.refreshByPath(ledger_path)
+    hashes = cut(versions.select(F.sha2(_text(text_col), 256).alias("blob")).distinct())
+    ledger = _table(spark, done_path, LEDGER)
+    todo = _unseen(hashes, ledger, rules)
+    if ledger is not None:
+        todo = cut(todo)
+    left = todo.count()
+    if left:
+        if ledger is None:
+            blobs = _unseen(blobs_of(versions, text_col), None, rules)
+        elif left <= BROADCAST_ROWS:
+            wanted = versions.select(F.sha2(_text(text_col), 256).alias("blob"), _text(text_col).alias("content")).join(F.broadcast(todo), "blob")
+            blobs = wanted.groupBy("blob", "todo").agg(F.first("content").alias("content"))
+        else:
+            blobs = blobs_of(versions, text_col).join(todo, "blob")
+        scan_blobs(blobs, rules).write.mode("append").parquet(found_path)
+        done = todo.select("blob", F.explode("todo").alias("t")).select("blob", F.substring_index("t", "@", 1).alias("kind"), F.substring_index("t", "@", -1).cast("int").alias("version"))
+        done.write.mode("append").parquet(done_path)
+        spark.catalog.refreshByPath(ledger_path)
+    found = _table(spark, found_path, FINDINGS)
+    if found is None:
+        return spark.createDataFrame([], FINDINGS)
     current = F.lit(False)
     for rule in rules:
         current = current | ((F.col("kind") == rule.kind) & (F.col("version") == rule.version))
-    return _table(spark, found_path, FINDINGS).where(current).distinct().join(blobs.select("blob"), "blob", "left_semi")
+    return found.where(current).distinct().join(hashes, "blob", "left_semi")
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path``, or none where nothing was written yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
     return spark.read.schema(schema).parquet(path)
 
 
@@ -140,7 +167,7 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     number, base = F.lit(len(rules)), [r.kind for r in rules if r.base]
     for i, rule in enumerate(rules):
         number = F.when(F.col("kind") == rule.kind, F.lit(i)).otherwise(number)
-    grouped = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", number.alias("no"), "end", "kind"))).alias("all"))
+    grouped = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", number.alias("no"), "end", "kind", "byte_start", "byte_end"))).alias("all"))
 
     def line(items: Column) -> Column:
         return F.concat_ws(",", F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -162,11 +189,14 @@ def join_to_paths(versions: DataFrame, digests: DataFrame, text_col: str = "text
     return versions.join(right, F.unhex(F.sha2(_text(text_col), 256)) == F.unhex("__blob"), "left")
 
 
-def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of ``versions``: id, number of base findings by kind, base digest, all spans."""
+def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
+    """One row per row of ``versions``: id, number of base findings by kind, base digest, all spans.
+
+    With ``ledger_path`` the findings come through the ledger there, and what was found goes into it.
+    """
     only = versions.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("content"))
     paths = only.select("doc_id", F.sha2("content", 256).alias("blob"))
-    digests = digest(findings(only, rules, "content"), rules)
+    digests = digest(scan_incremental(only, ledger_path, rules, "content") if ledger_path else findings(only, rules, "content"), rules)
     right = digests.withColumnRenamed("blob", "__blob")
     joined = paths.join(right, F.unhex("blob") == F.unhex("__blob"), "left")
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
@@ -176,18 +206,26 @@ def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every finding in the text replaced by ``<kind>``; columns and rows stay.
 
-    Findings that overlap are replaced together, named for the first. A null text stays null.
+    Findings that overlap are replaced together, named for the first. A null text stays null. The
+    text is cut by bytes, where no character needs to be counted again for each finding.
     """
-    joined = join_to_paths(docs, digest(findings(docs, rules, text_col), rules).select("blob", "found"), text_col)
-    text, start = F.col(text_col), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        new = F.array(F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")), F.concat(F.lit("<"), span["kind"], F.lit(">")))
-        out = F.when(span["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], new))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.lit(2147483647)))
-    clean = F.when(F.col("__found").isNotNull() & text.isNotNull(), F.aggregate("__found", start, step, rest)).otherwise(text)
+    number = F.lit(len(rules))
+    for i, rule in enumerate(rules):
+        number = F.when(F.col("kind") == rule.kind, F.lit(i)).otherwise(number)
+    in_order = Window.partitionBy("blob").orderBy("byte_start", "no", "byte_end")
+    marked = findings(docs, rules, text_col).withColumn("no", number).withColumn("reached", F.max("byte_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    apart = F.when(F.col("byte_start") < F.col("reached"), 0).otherwise(1)
+    cuts = marked.withColumn("island", F.sum(apart).over(in_order)).groupBy("blob", "island").agg(F.min("byte_start").alias("from"), F.max("byte_end").alias("to"), F.min_by("kind", F.struct("byte_start", "no")).alias("kind"))
+    found = cuts.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("from", "to", "kind"))).alias("found"))
+    joined = join_to_paths(docs, found, text_col)
+    body, spans = F.col(text_col).cast("string").cast("binary"), F.col("__found")
+
+    def piece(span: Column, i: Column) -> Column:
+        kept = F.coalesce(F.try_element_at(spans, F.when(i > 0, i).otherwise(F.lit(None)).cast("int"))["to"], F.lit(0))
+        return F.concat(F.substring(body, (kept + 1).cast("int"), (span["from"] - kept).cast("int")).cast("string"), F.lit("<"), span["kind"], F.lit(">"))
+
+    rest = F.substring(body, (F.element_at(spans, -1)["to"] + 1).cast("int"), F.lit(2147483647)).cast("string")
+    clean = F.when(spans.isNotNull() & F.col(text_col).isNotNull(), F.concat(F.array_join(F.transform(spans, piece), ""), rest)).otherwise(F.col(text_col))
     return joined.withColumn(text_col, clean).select(*docs.columns)
 
 
