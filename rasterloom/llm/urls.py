@@ -63,14 +63,17 @@ def rule_of(rules: tuple[UrlRule, ...] = RULES) -> Column:
     return found
 
 
-def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def host_edges(pages: DataFrame, html_col: str = "html", parents: bool = False) -> DataFrame:
     """Edges ``(src, dst)`` between hosts of ``pages(host, html)``, each once.
 
-    A link in a page's html leads to its host; a host and the nearest host above it that the
-    table has (``blog.a.net`` and ``a.net``) lead to each other.
+    A link in a page's html leads to its host; links within a host are none. With ``parents``, a
+    host and the nearest host above it that the table has (``blog.a.net`` and ``a.net``) lead to
+    each other as well.
     """
     linked = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(_LINK), F.lit(1))).alias("to"))
     links = linked.select(F.col("host").alias("src"), F.translate("to", _UPPER, _LOWER).alias("dst")).where("src <> '' and dst <> src").distinct()
+    if not parents:
+        return links
     hosts = pages.select("host").where("host <> ''").distinct()
     labels = F.size(F.split("host", r"\."))
     above = hosts.where(labels > 1).select("host", F.explode(F.sequence(F.lit(1), labels - 1)).alias("k"))
@@ -91,14 +94,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
     start = cut(seeds.join(F.broadcast(total), "kind").select("kind", "node", (F.lit(1 - damping) * F.col("mass") / F.col("total")).alias("seed")))
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("out"))
-    key = F.xxhash64("kind", "src")
-    weighted = cut(join_on_hot_key(edges.withColumn("key", key), degree.select(key.alias("key"), "out"), "key").drop("key"))
+    key, same = F.xxhash64("kind", "src"), (F.col("kind") == F.col("__kind")) & (F.col("src") == F.col("__node"))  # two nodes may share a hash
+    weighted = cut(join_on_hot_key(edges.withColumn("key", key), degree.select(key.alias("key"), "out", F.col("kind").alias("__kind"), F.col("src").alias("__node")), "key").where(same).drop("key", "__kind", "__node"))
     restart, zero = start.select("kind", "node", F.col("seed").alias("part")), F.lit(0.0)
     score, settled = start.select("kind", "node", F.col("seed").alias("score")), False
     while not settled:
         for r in range(_CUT_EVERY):
-            state = score.select(F.xxhash64("kind", "node").alias("key"), "score")
-            moved = join_on_hot_key(weighted.withColumn("key", key), state, "key").select("kind", F.col("dst").alias("node"), (F.lit(damping) * F.col("score") / F.col("out")).alias("part"))
+            state = score.select(F.xxhash64("kind", "node").alias("key"), "score", F.col("kind").alias("__kind"), F.col("node").alias("__node"))
+            moved = join_on_hot_key(weighted.withColumn("key", key), state, "key").where(same).select("kind", F.col("dst").alias("node"), (F.lit(damping) * F.col("score") / F.col("out")).alias("part"))
             parts = moved.union(restart).withColumn("last", zero)
             if r == _CUT_EVERY - 1:
                 parts = parts.union(score.select("kind", "node", zero, "score"))
@@ -108,7 +111,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     return score.select("kind", "node", "score")
 
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parents: bool = False) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every page.
 
     The rule's verdict holds; without a rule the host's: block if distrust exceeds trust, else
@@ -120,7 +123,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "p
     ruled = parts.where("said is not null and host <> ''").groupBy("host", "said.verdict").agg(F.count("*").cast("double").alias("mass"))
     kinds = F.when(F.col("verdict") == "allow", "trust").otherwise("distrust")
     seeds = ruled.select(kinds.alias("kind"), F.col("host").alias("node"), "mass")
-    links = cut(host_edges(parts))
+    links = cut(host_edges(parts, parents=parents))
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst").union(links.select(F.lit("distrust"), F.col("dst"), F.col("src")))
     scores = propagate(edges, seeds)
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
@@ -143,10 +146,7 @@ def judge_sql(rules: tuple[UrlRule, ...] = RULES, rounds: int = ROUNDS, damping:
         "p AS (SELECT page_id, html, " + lower.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')") + " AS host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM u)",
         f"r AS (SELECT page_id, html, host, path, {name} AS rule, {verdict} AS said FROM p)",
         "a AS (SELECT host, unnest(regexp_extract_all(html, $p$" + _LINK + "$p$, 1)) AS dst FROM r)",
-        "h AS (SELECT DISTINCT host FROM r WHERE host <> '')",
-        "k AS (SELECT host, unnest(range(1, len(string_split(host, '.')))) AS k FROM h)",
-        "n AS (SELECT k.host, arg_min(h.host, k.k) AS up FROM k JOIN h ON h.host = array_to_string(string_split(k.host, '.')[k.k + 1:], '.') GROUP BY 1)",
-        "l AS (SELECT host AS src, " + lower.format("dst") + " AS dst FROM a WHERE host <> '' UNION SELECT host, up FROM n UNION SELECT up, host FROM n)",
+        "l AS (SELECT DISTINCT host AS src, " + lower.format("dst") + " AS dst FROM a WHERE host <> '')",
         "e AS (SELECT 'trust' AS kind, src, dst FROM l WHERE src <> dst UNION ALL SELECT 'distrust', dst, src FROM l WHERE src <> dst)",
         "w AS (SELECT *, count(*) OVER (PARTITION BY kind, src) AS fan FROM e)",
         "m AS (SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host AS node, count(*)::DOUBLE AS mass FROM r WHERE said IS NOT NULL AND host <> '' GROUP BY 1, 2)",
@@ -157,5 +157,5 @@ def judge_sql(rules: tuple[UrlRule, ...] = RULES, rounds: int = ROUNDS, damping:
             f"s{i} AS (SELECT kind, node, sum(part) AS score FROM (SELECT w.kind, w.dst AS node, {damping} * score / fan AS part FROM w JOIN s{i - 1} s ON s.kind = w.kind AND s.node = w.src "
             f"UNION ALL SELECT kind, node, (1 - {damping}) * score FROM s0) GROUP BY 1, 2)"
         )
-    steps.append(f"b AS (SELECT node FROM s{rounds} GROUP BY 1 HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0) + {MARGIN})")
+    steps.append(f"b AS (SELECT node FROM s{rounds} GROUP BY 1 HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0) * (1 + {MARGIN}))")
     return "WITH " + ", ".join(steps) + " SELECT page_id, host, path, rule, coalesce(said, CASE WHEN b.node IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN b ON b.node = r.host"
