@@ -1,10 +1,11 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range-join, exact verification.
 
-A 64-bit fingerprint is embedded as the bit counts of its 32 two-bit segments. Manhattan
-distance between two such vectors never exceeds the Hamming distance of the fingerprints, so
-pairs farther apart than the limit of 4 in the embedding are ruled out without looking at bits.
-The vector is cut in two halves of 16 segments: of two fingerprints within distance 4, one half
-is within Manhattan distance 2, so both reach a common grid cell by one unit step each.
+A 64-bit fingerprint is embedded as the bit counts of its two-bit segments (of one-bit segments
+in very large tables). Manhattan distance between two such vectors never exceeds the Hamming
+distance of the fingerprints, so pairs farther apart than the limit of 4 in the embedding are
+ruled out without looking at bits. The vector is cut in two halves: of two fingerprints within
+distance 4, one half is within Manhattan distance 2, so both reach a common grid cell by one unit
+step each.
 Fingerprints are joined on those cells and what is left is verified on all 64 bits.
 """
 
@@ -24,6 +25,8 @@ from .common import components, cut, give_back, join_on_hot_key
 MAX_DISTANCE = 4
 SHINGLE = 4
 SEED = 42
+#: Fingerprints from which on segments are one bit wide: cells of two-bit segments hold N / 6.5 million of N unrelated ones, of one bit N / 4 billion.
+MANY = 1 << 24
 #: Fingerprints in one unexpanded cell from which on pairs among them are found by midpoints.
 DENSE = 64
 
@@ -64,22 +67,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return only.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _unary(half: Column) -> Column:
-    """Bit counts of the 16 two-bit segments of a 32-bit half, each in unary (00, 01, 11).
+def _unary(half: Column, width: int) -> Column:
+    """Bit counts of the segments of a 32-bit half, each in unary (00, 01, 11 for two bits, 0, 1 for one).
 
     In unary the Manhattan distance of two vectors is the Hamming distance of their codes.
     """
+    if width == 1:
+        return half
     high, low = F.shiftright(half, 1).bitwiseAND(F.lit(_LOW)), half.bitwiseAND(F.lit(_LOW))
     return F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseOR(low))
 
 
-def _halves(prints: DataFrame) -> DataFrame:
+def _halves(prints: DataFrame, width: int) -> DataFrame:
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
-    return prints.withColumn("c0", _unary(low)).withColumn("c1", _unary(high))
+    return prints.withColumn("c0", _unary(low, width)).withColumn("c1", _unary(high, width))
 
 
-def _ball(code: Column) -> Column:
+def _ball(code: Column, width: int) -> Column:
     """The cells within Manhattan distance 1 of a unary code, itself included."""
 
     def step(i: Column) -> Column:
@@ -92,6 +97,8 @@ def _ball(code: Column) -> Column:
             .otherwise(F.array(code.bitwiseXOR(segment).bitwiseOR(one)))
         )
 
+    if width == 1:
+        return F.concat(F.array(code), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: code.bitwiseXOR(F.pow(F.lit(2.0), i).cast("long"))))
     return F.concat(F.array(code), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), step)))
 
 
@@ -99,7 +106,7 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def grid_links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
+def grid_links(prints: DataFrame, dense: int = DENSE, width: int = 2) -> DataFrame:
     """Links ``(a, b)`` that join all distinct ``prints(fp)`` within Hamming distance 4.
 
     Pairs are found through grid cells and verified exactly. Where an unexpanded cell holds
@@ -107,13 +114,14 @@ def grid_links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     :func:`midpoint_links`, which is linear in their number and as exact, so no crowded cell
     is ever compared all against all. The links returned connect what lies within the limit;
     for crowded fingerprints they lead over a common neighbour instead of naming each pair.
+    ``width`` is the bits of a segment, two or one; links are the same, cells are smaller with one.
     """
-    both = _halves(prints)
+    both = _halves(prints, width)
     codes = both.select("fp", F.posexplode(F.array("c0", "c1")).alias("half", "code"), "c0")
     crowded = codes.groupBy("half", "code").agg(F.count("*").alias("n")).where(F.col("n") >= dense).select("half", "code", F.lit(True).alias("crowded"))
     marked = codes.join(crowded, ["half", "code"], "left").select("fp", "half", "code", "c0", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     marked = cut(marked)
-    cells = marked.select("fp", "half", "code", "c0", "crowded", F.explode(_ball(F.col("code"))).alias("cell"))
+    cells = marked.select("fp", "half", "code", "c0", "crowded", F.explode(_ball(F.col("code"), width)).alias("cell"))
     a = cells.select(*(F.col(c).alias(f"a_{c}") for c in cells.columns))
     b = cells.select(*(F.col(c).alias(f"b_{c}") for c in cells.columns))
     within = _apart("a_code", "b_code")
@@ -159,7 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(grid_links(classes.select("fp"))).withColumnsRenamed({"node": "fp"})
+    width = 1 if prints.count() >= MANY else 2
+    roots = components(grid_links(classes.select("fp"), width=width)).withColumnsRenamed({"node": "fp"})
     rooted = classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = join_on_hot_key(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
