@@ -8,6 +8,7 @@ import re
 import struct
 import subprocess
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -102,13 +103,13 @@ def test_redaction_leaves_clean_text_and_no_secret(spark):
 
 def test_ledger_scans_each_pair_once(spark, tmp_path):
     path, first = str(tmp_path / "ledger"), spark.createDataFrame([("a", "password=abcdef1"), ("b", "password=abcdef1")], "path string, text string")
-    assert secrets.scan_incremental(spark, first, path).count() == 1
+    assert secrets.scan_incremental(first, path).count() == 1
     assert spark.read.parquet(path + "/scanned").count() == len(secrets.RULES)
     more = first.union(spark.createDataFrame([("c", "token=zzzzzzzz")], "path string, text string"))
-    assert secrets.scan_incremental(spark, more, path).count() == 2
+    assert secrets.scan_incremental(more, path).count() == 2
     newer = tuple(r._replace(version=2) if r.kind == "hex" else r for r in secrets.RULES)
     before = spark.read.parquet(path + "/scanned").count()
-    secrets.scan_incremental(spark, more, path, newer)
+    secrets.scan_incremental(more, path, newer)
     assert spark.read.parquet(path + "/scanned").count() == before + 2
 
 
@@ -200,8 +201,8 @@ def test_near_duplicates_match_brute_force(spark, corpus):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == want
 
 
-@pytest.mark.parametrize("dense", [1, 3, 1000])
-def test_grid_finds_all_links_however_crowded(spark, dense):
+@pytest.mark.parametrize("dense, width", [(1, 2), (3, 2), (1000, 2), (1000, 1), (3, 1)])
+def test_grid_finds_all_links_however_crowded(spark, dense, width):
     rng = np.random.default_rng(0)
     values = set()
     for centre in rng.integers(0, 1 << 63, 12).tolist():
@@ -209,7 +210,7 @@ def test_grid_finds_all_links_however_crowded(spark, dense):
     values |= {0, 3, (1 << 63) - 1}
     values = sorted(values)
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {r["node"]: r["root"] for r in components(simhash.grid_links(frame, dense)).collect()}
+    got = {r["node"]: r["root"] for r in components(simhash.grid_links(frame, dense, width)).collect()}
     root = brute_components(values, lambda a, b: (a ^ b).bit_count() <= 4)
     assert [got.get(v, v) for v in values] == [values[r] for r in root]
 
@@ -367,6 +368,24 @@ def test_texts_of_millions_of_characters(spark, definition):
     assert text == {0: LONG[2].strip(), 1: "deep", 2: "open"}
 
 
+def test_article_text_that_looks_like_furniture():
+    page = '<nav><a href=/>Home</a></nav><article><p>See the list.</p><p><a href=x>The full paper as a download</a></p>{}</article><p>Imprint</p>'
+    for inner, said in (
+        ("<p>One <button>Go</button> two <input name=q> three <svg><g><path d=''/></g></svg> four.</p>", "One two three four."),
+        ('<div class="related-work"><p>Prior.</p></div><div class="menu-of-the-day">Soup.</div>', "Prior.\n\nSoup."),
+        ('<div class="ad-slot-2">Buy</div><div class="main-nav">x</div><div class="comments-area">c</div><p title=it\'s>Rest.</p>', "Rest."),
+        ("<header><h1>Title</h1></header><p>a > b &lt; c</p>", "a > b < c"),
+    ):
+        assert html.extract(page.format(inner)) == f"See the list.\n\nThe full paper as a download\n\n{said}"
+
+
+@pytest.mark.parametrize("page", ["<i>" * 30_000 + "</x>" * 30_000 + "a", "<b>" * 30_000 + "<div></div>" * 30_000 + "a", "<a '" * 30_000 + ">a", '<a href="x>' * 30_001 + "a", "<p>a" + "<" * 100_000, "a<!--" + "<p>" * 30_000])
+def test_broken_markup_takes_linear_time(page):
+    began = time.monotonic()
+    assert html.extract(page).startswith("a") or "href" in page
+    assert time.monotonic() - began < 10
+
+
 def test_workers_need_no_package(tmp_path):
     """Only the driver finds the package: queries run from another folder, with no path set for workers."""
     script = f"""
@@ -580,7 +599,7 @@ def test_url_rules_and_propagation(spark):
     link = lambda *hosts: "".join(f'<a class=x href="http://{h}/x">y</a>' for h in hosts)
     rows = [(1, "http://good.example.org/en/9", link("a.net", "b.net")), (2, "http://a.net/", link("b.net")), (3, "http://B.net?q", None), (4, "http://spam.com/de/x", ""), (5, "https://farm.net", link("spam.com")), (6, None, ""), (7, "nohost", None), (8, "x://blog.farm.net/1", ""), (None, "http://example.org/en/12?x", ""), (9, "http://notorg/", "")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
-    out = {r["page_id"]: tuple(r)[1:] for r in urls.judge(frame).collect()}
+    out = {r["page_id"]: tuple(r)[1:] for r in urls.judge(frame, parents=True).collect()}
     assert out[1] == ("good.example.org", "/en/9", "org/", "allow") and out[None] == ("example.org", "/en/12", "example.org/en/1", "block")
     assert out[3] == ("b.net", "", None, "allow") and out[4][2:] == ("com/de/", "block") and out[5][2:] == (None, "block") and out[8][3] == "block"
     assert out[6] == ("", "", None, "allow") and out[7] == ("", "", None, "allow") and out[9][2] is None
