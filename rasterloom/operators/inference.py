@@ -49,7 +49,9 @@ def apply_network(tiles: DataFrame, weights: network.Weights, patch: int = 256,
                 out = [p.astype("<f4").tobytes() for p in network.forward(held, planes)]
                 yield part.set_column(part.schema.get_field_index("patch"), "patch", pa.array(out, pa.binary()))
 
-    return tiles.repartition("path", "py", "px").mapInArrow(run, _PATCHES)
+    spark = tiles.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return tiles.repartition(tasks, "path", "py", "px").mapInArrow(run, _PATCHES)  # by number: tiles are few bytes for the work they make
 
 
 def blend(tiles: DataFrame, patch: int = 256) -> DataFrame:
