@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -28,6 +28,8 @@ BLOCKS = 4
 TILE_SIZE, TILE_LEAST, TILE_MOST = 1 << 19, 512, 8192
 #: Leaves of the tree, at most: they and their pairs are known to the driver.
 MOST_LEAVES = 1024
+#: A component of more than one in so many linked rows is joined by broadcast.
+HOT_SHARE = 1000
 #: Rows of one tile compared at a time; single-precision error that a block's share is widened by.
 STRIP = 512
 SLACK = 1e-5
@@ -209,13 +211,22 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = built.select("tile", F.posexplode("ids").alias("pos", "id")).select((F.shiftleft("tile", 20) + F.col("pos")).alias("node"), "id")
     linked = nodes.join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
-    least_id = linked.join(roots, "node").groupBy("top").agg(F.min("id").alias("component_id"))
-    named = linked.join(roots, "node").join(least_id.withColumnRenamed("top", "of").hint("merge"), F.col("top").bitwiseXOR(F.lit(1 << 61)) == F.col("of").bitwiseXOR(F.lit(1 << 61)))
+    rooted = cut(linked.join(roots, "node").select("id", "n_links", "top"))
+    least_id = cut(rooted.groupBy("top").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
+    many = least_id.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE >= many  # so there are HOT_SHARE of them at most, and none of the others is large
+    named = rooted.join(F.broadcast(least_id.where(hot).drop("n")), "top").union(_cold(rooted, least_id, hot))
     free = nodes.join(found.select("node").distinct(), "node", "left_anti").select("id")
     joined = named.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return joined.union(_alone(free)).union(_alone(plain.where(~able)))
 
 
+def _cold(rooted: DataFrame, least_id: DataFrame, hot: Column) -> DataFrame:
+    """``rooted`` with the least id of its component, for the components that are not hot."""
+    left = rooted.join(F.broadcast(least_id.where(hot).select("top")), "top", "left_anti")
+    return left.join(least_id.where(~hot).drop("n"), "top")
+
+
 def _alone(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
 
