@@ -202,6 +202,17 @@ def box_sum(img: np.ndarray, size: int = 16) -> np.ndarray:
     return correlate(img, np.ones(size))
 
 
+def convolve3(img: np.ndarray, weights: np.ndarray, shift: float = 0.0) -> np.ndarray:
+    """3 x 3 correlation with zeros around, a shift, cut at zero."""
+    wide, (h, w) = np.pad(img.astype(np.float64), 1), img.shape
+    return np.maximum(sum(weights[i, j] * wide[i : i + h, j : j + w] for i in range(3) for j in range(3)) + shift, 0)
+
+
+def odd(n: int) -> int:
+    """The next odd number, or n if it is odd."""
+    return n | 1
+
+
 def color_ink(bgr: np.ndarray) -> np.ndarray:
     """Coloured ink: hue, saturation and value in a band, red over green and blue, grown by one pixel."""
     wide, own = hsv(bgr).astype(int), bgr.astype(int)
@@ -367,6 +378,24 @@ def ssim(a: np.ndarray, b: np.ndarray, window: str = "uniform", span: float = 25
     return float((((2 * ma * mb + c1) * (2 * both + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
 
 
+def ssim_slope(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
+    """:func:`ssim` of planes in [0, 1] by Gaussian windows, and its slope by each value of ``a``."""
+    kernel, c1, c2 = gaussian_kernel(11, 1.5), 0.01**2, 0.03**2
+    if min(a.shape) < len(kernel):
+        raise ValueError("planes of 11 x 11 or more have a window")
+    ma, mb = _means(a, kernel), _means(b, kernel)
+    va, vb, both = _means(a * a, kernel) - ma * ma, _means(b * b, kernel) - mb * mb, _means(a * b, kernel) - ma * mb
+    light, joint, bright, spread = 2 * ma * mb + c1, 2 * both + c2, ma**2 + mb**2 + c1, va + vb + c2
+    own = light * joint / (bright * spread)
+    by_square, by_product = -own / spread, 2 * light / (bright * spread)
+    by_mean = 2 * mb * joint / (bright * spread) - 2 * ma * own / bright - 2 * ma * by_square - mb * by_product
+
+    def back(x: np.ndarray) -> np.ndarray:
+        return correlate(np.pad(x, len(kernel) // 2), kernel, border="zero")
+
+    return float(own.mean()), (back(by_mean) + 2 * a * back(by_square) + b * back(by_product)) / own.size
+
+
 def combined_loss(a: np.ndarray, b: np.ndarray, alpha: float = 0.7) -> float:
     """alpha * MSE + (1 - alpha) * (1 - SSIM) of planes in [0, 1]."""
     if not 0.0 <= alpha <= 1.0:
@@ -444,7 +473,7 @@ def _bilinear(img: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float | None)
 
 
 def resize(img: np.ndarray, h: int, w: int, how: str = "area") -> np.ndarray:
-    """Area, linear, cubic or nearest resampling."""
+    """Area, linear, cubic, Lanczos or nearest resampling."""
     sy, sx = img.shape[0] / h, img.shape[1] / w
     if how == "nearest":
         return img[np.minimum((np.arange(h) * sy).astype(int), img.shape[0] - 1)][:, np.minimum((np.arange(w) * sx).astype(int), img.shape[1] - 1)]
@@ -452,10 +481,10 @@ def resize(img: np.ndarray, h: int, w: int, how: str = "area") -> np.ndarray:
         y, x = np.meshgrid((np.arange(h) + 0.5) * sy - 0.5, (np.arange(w) + 0.5) * sx - 0.5, indexing="ij")
         out = _bilinear(img, np.clip(y, 0, img.shape[0] - 1), np.clip(x, 0, img.shape[1] - 1), None)
     else:
-        spread = _area if how == "area" else _cubic
+        spread = {"area": _area, "cubic": _cubic, "lanczos": _lanczos}[how]
         out = np.tensordot(spread(img.shape[0], h), img.astype(np.float64), axes=(1, 0))
         out = np.moveaxis(np.tensordot(spread(img.shape[1], w), out, axes=(1, 1)), 0, 1)
-    return to_uint8(np.floor(out + 0.5)) if img.dtype == np.uint8 else out.astype(img.dtype)
+    return to_uint8(np.floor(np.round(out, 9) + 0.5)) if img.dtype == np.uint8 else out.astype(img.dtype)
 
 
 def _area(n: int, size: int) -> np.ndarray:
@@ -465,6 +494,17 @@ def _area(n: int, size: int) -> np.ndarray:
     return cover / cover.sum(axis=1, keepdims=True)
 
 
+def _lanczos(n: int, size: int, lobes: int = 4) -> np.ndarray:
+    """Windowed sinc over 2 * lobes pixels, the rim repeated."""
+    at = (np.arange(size) + 0.5) * n / size - 0.5
+    base = np.floor(at).astype(int)
+    out = np.zeros((size, n))
+    for k in range(1 - lobes, lobes + 1):
+        d = at - (base + k)
+        np.add.at(out, (np.arange(size), np.clip(base + k, 0, n - 1)), np.where(np.abs(d) < lobes, np.sinc(d) * np.sinc(d / lobes), 0))
+    return out / out.sum(axis=1, keepdims=True)
+
+
 def _cubic(n: int, size: int, a: float = -0.75) -> np.ndarray:
     at = (np.arange(size) + 0.5) * n / size - 0.5
     base = np.floor(at).astype(int)
@@ -476,6 +516,12 @@ def _cubic(n: int, size: int, a: float = -0.75) -> np.ndarray:
     return out
 
 
+def thumbnail(img: np.ndarray, most: int = 96) -> np.ndarray:
+    """Scaled down by area so that no side is longer than ``most``."""
+    scale = most / max(img.shape[:2])
+    return img.copy() if scale >= 1 else resize(img, max(1, round(img.shape[0] * scale)), max(1, round(img.shape[1] * scale)))
+
+
 # Pipelines
 
 
@@ -544,6 +590,15 @@ def side_by_side(before: np.ndarray, after: np.ndarray, crop: tuple[int, int, in
     return np.hstack((parts[0], np.full((parts[0].shape[0], gap), 255, dtype=np.uint8), parts[1]))
 
 
+def stage_images(bgr: np.ndarray, **options: object) -> dict[str, np.ndarray]:
+    """What :func:`digitize` saw on its way, by name, and a sheet of all of them at a quarter of the size, in order."""
+    final, stages, _ = digitize(bgr, **options)
+    shown = {"0_input": bgr} | {f"{i}_{k}": v if v.dtype == np.uint8 else np.where(v, 0, 255).astype(np.uint8) for i, (k, v) in enumerate(stages.items(), 1)} | {"7_final": final}
+    small = [resize(v if v.ndim == 3 else np.repeat(v[..., None], 3, axis=2), max(1, bgr.shape[0] // 4), max(1, bgr.shape[1] // 4)) for v in shown.values()]
+    gap = np.full((small[0].shape[0], 4, 3), 128, dtype=np.uint8)
+    return shown | {"grid": np.hstack([part for s in small for part in (s, gap)][:-1])}
+
+
 def contact_sheet(tiles: list[np.ndarray], columns: int = 6, most: int = 1536) -> np.ndarray:
     side = max(t.shape[0] for t in tiles)
     rows = -(-len(tiles) // columns)

@@ -6,10 +6,15 @@ Planes are (batch, channels, height, width) of float32 in [0, 1]; height and wid
 from __future__ import annotations
 
 import io
+import pickle
+import time
+import zipfile
 from collections.abc import Callable
 
 import numpy as np
 
+from rasterloom.operators import kernels
+
 WIDTHS = (16, 32, 64, 128)
 _EPS = 1e-5
 #: Values of a strip of rows with their surroundings.
@@ -54,11 +59,76 @@ def save(weights: Weights) -> bytes:
 
 
 def load(body: bytes) -> Weights:
-    """Weights from an npz archive; no objects are unpickled."""
+    """Weights from an npz archive, of which no objects are unpickled, or from a checkpoint of named tensors."""
+    if any(name.endswith("data.pkl") for name in zipfile.ZipFile(io.BytesIO(body)).namelist()):
+        return from_tensors(tensors(body))
     with np.load(io.BytesIO(body), allow_pickle=False) as held:
         return {k: held[k] for k in held.files}
 
 
+#: Storage classes of a checkpoint and their NumPy types.
+_STORAGES = {"FloatStorage": "<f4", "DoubleStorage": "<f8", "HalfStorage": "<f2", "LongStorage": "<i8", "IntStorage": "<i4"}
+
+
+class _Tensors(pickle.Unpickler):
+    """Unpickles dictionaries of tensors and nothing else."""
+
+    def __init__(self, archive: zipfile.ZipFile, index: str) -> None:
+        super().__init__(io.BytesIO(archive.read(index)))
+        self.archive, self.folder = archive, index.removesuffix("data.pkl")
+
+    def find_class(self, module: str, name: str) -> object:
+        if (module, name) == ("collections", "OrderedDict"):
+            return dict
+        if (module, name) == ("torch._utils", "_rebuild_tensor_v2"):
+            return _tensor
+        if module == "torch" and name in _STORAGES:
+            return _STORAGES[name]
+        raise pickle.UnpicklingError(f"a checkpoint holds tensors, not {module}.{name}")
+
+    def persistent_load(self, pid: tuple) -> np.ndarray:
+        return np.frombuffer(self.archive.read(f"{self.folder}data/{pid[2]}"), dtype=pid[1])
+
+
+def _tensor(storage: np.ndarray, offset: int, size: tuple[int, ...], stride: tuple[int, ...], *_: object) -> np.ndarray:
+    if offset < 0 or any(n < 0 for n in (*size, *stride)) or offset + sum((n - 1) * step for n, step in zip(size, stride)) >= max(len(storage), 1):
+        raise pickle.UnpicklingError("a tensor lies outside its storage")
+    return np.lib.stride_tricks.as_strided(storage[offset:], size, tuple(storage.itemsize * step for step in stride)).copy()
+
+
+def tensors(body: bytes) -> dict[str, np.ndarray]:
+    """The tensors of a checkpoint file by name, plain or under ``model_state_dict``."""
+    with zipfile.ZipFile(io.BytesIO(body)) as archive:
+        index = next(name for name in archive.namelist() if name.endswith("data.pkl"))
+        held = _Tensors(archive, index).load()
+    held = held.get("model_state_dict", held)
+    return {k: v for k, v in held.items() if isinstance(v, np.ndarray)}
+
+
+def from_tensors(held: dict[str, np.ndarray]) -> Weights:
+    """Weights from tensors named ``enc1``..., ``bottleneck``, ``up``..., ``dec``... and ``out_conv``.
+
+    There a decoder block sees the grown planes first and the skipped ones behind them, here the
+    other way round.
+    """
+    depth = sum(k.startswith("enc") and k.endswith("block.0.weight") for k in held)
+    names = {f"enc{i + 1}": f"down{i}" for i in range(depth)} | {"bottleneck": f"down{depth}"} | {f"dec{i + 1}": f"up{i}" for i in range(depth)}
+    weights: Weights = {}
+    for theirs, own in names.items():
+        for i, at in enumerate((0, 3)):
+            weights[f"{own}.conv{i}"] = held[f"{theirs}.block.{at}.weight"]
+            for part, name in (("scale", "weight"), ("shift", "bias"), ("mean", "running_mean"), ("var", "running_var")):
+                weights[f"{own}.norm{i}.{part}"] = held[f"{theirs}.block.{at + 1}.{name}"]
+        if theirs.startswith("dec"):
+            first = weights[f"{own}.conv0"]
+            grown = held[f"up{theirs[3:]}.weight"].shape[1]
+            weights[f"{own}.conv0"] = np.concatenate((first[:, grown:], first[:, :grown]), axis=1)
+    for i in range(depth):
+        weights[f"rise{i}.weight"], weights[f"rise{i}.bias"] = held[f"up{i + 1}.weight"], held[f"up{i + 1}.bias"]
+    weights["head.weight"], weights["head.bias"] = held["out_conv.weight"].reshape(1, -1), held["out_conv.bias"]
+    return {k: np.ascontiguousarray(w, dtype=np.float32) for k, w in weights.items()}
+
+
 class _Tape:
     """Records, in order, how to carry gradients back."""
 
@@ -193,7 +263,7 @@ def _convolve(x: np.ndarray, flat: np.ndarray, shift: np.ndarray) -> np.ndarray:
     long runs and multiplied once, while it is in the cache.
     """
     h, w, c = x.shape[0] - 2, x.shape[1] - 2, x.shape[2]
-    out, down, step = _rimmed(h, w, flat.shape[1]), x.strides[0], x.strides[2]
+    out, down, step = _rimmed(h, w, flat.shape[1]), x.strides[0], x.itemsize
     rows = max(1, min(h, _STRIP // (9 * c * w)))
     for y in range(0, h, rows):
         m = min(rows, h - y)
@@ -245,17 +315,28 @@ def forward(weights: Weights, planes: np.ndarray) -> np.ndarray:
     return np.stack([_one_plane(weights, ready, depth, p[0]) for p in planes])[:, None].astype(np.float32) if len(planes) else planes
 
 
-def mse_step(weights: Weights, dirty: np.ndarray, clean: np.ndarray, train: bool = True) -> tuple[float, Weights]:
-    """Mean squared error of a batch and, in training, the gradient of each weight."""
+def loss_step(weights: Weights, dirty: np.ndarray, clean: np.ndarray, alpha: float = 1.0, train: bool = True) -> tuple[float, Weights]:
+    """alpha * MSE + (1 - alpha) * (1 - SSIM) of a batch and, in training, the gradient of each weight."""
     if not train:
-        return float(((forward(weights, dirty) - clean) ** 2).mean()), {}
+        return _loss(forward(weights, dirty), clean, alpha)[0], {}
     tape = _Tape(weights)
     out = _run(tape, dirty.astype(np.float32))
-    error = out - clean
-    tape.grads[id(out)] = (2 * error / error.size).astype(np.float32)
+    loss, tape.grads[id(out)] = _loss(out, clean, alpha)
     for back in reversed(tape.back):
         back()
-    return float((error**2).mean()), tape.wgrads
+    return loss, tape.wgrads
+
+
+def _loss(out: np.ndarray, clean: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
+    """The loss of a batch and its slope by each value of ``out``."""
+    error = out - clean
+    loss, slope = alpha * float((error**2).mean()), alpha * 2 * error / error.size
+    if alpha < 1:
+        for k in range(len(out)):
+            same, rise = kernels.ssim_slope(out[k, 0].astype(np.float64), clean[k, 0].astype(np.float64))
+            loss += (1 - alpha) * (1 - same) / len(out)
+            slope[k, 0] -= (1 - alpha) * rise / len(out)
+    return loss, slope.astype(np.float32)
 
 
 def cosine_rate(rate: float, epoch: int, epochs: int) -> float:
@@ -263,12 +344,16 @@ def cosine_rate(rate: float, epoch: int, epochs: int) -> float:
     return rate / 100 + (rate - rate / 100) * (1 + np.cos(np.pi * epoch / epochs)) / 2
 
 
-def train(pairs: tuple[np.ndarray, np.ndarray], epochs: int = 2, batch: int = 8, rate: float = 1e-3, seed: int = 42, decay: float = 1e-4, widths: tuple[int, ...] = WIDTHS) -> tuple[Weights, list[dict]]:
+def train(pairs: tuple[np.ndarray, np.ndarray], epochs: int = 2, batch: int = 8, rate: float = 1e-3, seed: int = 42, decay: float = 1e-4, widths: tuple[int, ...] = WIDTHS, alpha: float = 0.7, originals: tuple[np.ndarray, np.ndarray] | None = None, note: Callable[[dict, Weights | None], None] | None = None) -> tuple[Weights, list[dict]]:
     """AdamW with a cosine rate on (dirty, clean) planes; the weights of the best validation loss and a log.
 
-    Nine tenths of the pairs train, the rest validate; there must be one of each.
+    Nine tenths of the pairs train, in a new order in each epoch; the rest validate, from
+    ``originals`` where these are given, which are the same pairs without augmentation; there must
+    be one of each. The loss is that of :func:`loss_step`. ``note`` is told each epoch's line of
+    the log, with the weights where they are the best so far.
     """
     dirty, clean = pairs
+    plain = pairs if originals is None else originals
     order = np.random.default_rng(seed).permutation(len(dirty))
     n = max(1, int(0.9 * len(dirty)))
     if len(dirty) - n < 1:
@@ -277,10 +362,11 @@ def train(pairs: tuple[np.ndarray, np.ndarray], epochs: int = 2, batch: int = 8,
     weights, rng = initial(seed, widths), np.random.default_rng(seed + 1)
     first, second, step, log, best, kept = {}, {}, 0, [], np.inf, {}
     for epoch in range(1, epochs + 1):
-        losses, now = [], cosine_rate(rate, epoch - 1, epochs)
+        losses, now, began = [], cosine_rate(rate, epoch - 1, epochs), time.monotonic()
+        mixed = rng.permutation(learn)
         for at in range(0, n, batch):
-            own = rng.permutation(learn)[:batch] if at == 0 and n <= batch else learn[at : at + batch]
-            loss, grads = mse_step(weights, dirty[own], clean[own])
+            own = mixed[at : at + batch]
+            loss, grads = loss_step(weights, dirty[own], clean[own], alpha)
             losses.append(loss)
             step += 1
             for k, g in grads.items():
@@ -288,8 +374,11 @@ def train(pairs: tuple[np.ndarray, np.ndarray], epochs: int = 2, batch: int = 8,
                 second[k] = 0.999 * second.get(k, 0) + 0.001 * g * g
                 move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
                 weights[k] = (weights[k] * (1 - now * decay) - now * move).astype(np.float32)
-        held = [mse_step(weights, dirty[judge[i : i + batch]], clean[judge[i : i + batch]], False)[0] for i in range(0, len(judge), batch)]
-        log.append({"epoch": epoch, "train_loss": round(float(np.mean(losses)), 8), "val_loss": round(float(np.mean(held)), 8), "lr": round(float(cosine_rate(rate, epoch, epochs)), 10)})
-        if log[-1]["val_loss"] < best:
+        held = [loss_step(weights, plain[0][judge[i : i + batch]], plain[1][judge[i : i + batch]], alpha, False)[0] for i in range(0, len(judge), batch)]
+        log.append({"epoch": epoch, "train_loss": round(float(np.mean(losses)), 8), "val_loss": round(float(np.mean(held)), 8), "lr": round(float(cosine_rate(rate, epoch, epochs)), 10), "elapsed_s": round(time.monotonic() - began, 1)})
+        better = log[-1]["val_loss"] < best
+        if better:
             best, kept = log[-1]["val_loss"], {k: w.copy() for k, w in weights.items()}
+        if note:
+            note(log[-1], kept if better else None)
     return kept, log

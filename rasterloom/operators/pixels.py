@@ -2,18 +2,23 @@
 
 This form states what the kernels compute, in expressions that Catalyst plans as a whole. Images
 stay apart by ``img``; spatial windows partition by image and row or column, so no partition
-holds more than one line of one image.
+holds more than one line of one image. What needs a pixel's surroundings in two directions runs
+the kernel on one image at a time, where exploding each pixel by its neighbours would cost a
+shuffle of as many rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rasterloom.functions import point
+from rasterloom.operators import kernels
 
 AT = ("img", "y", "x")
 
@@ -53,36 +58,34 @@ def ink_coverage(pixels: DataFrame, threshold: int = 128) -> DataFrame:
     return pixels.groupBy("img").agg((F.lit(100.0) * F.count_if(F.col("v") < threshold) / F.count("*")).alias("pct"))
 
 
-def gather(pixels: DataFrame, offsets: Iterable[tuple[int, int, float]], h: int, w: int, border: str) -> DataFrame:
-    """``(img, y, x, v, weight)``: for each pixel its neighbours at ``offsets`` (dy, dx, weight).
+def by_kernel(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: str = "v int", value: str = "v", level: str = "uint8") -> DataFrame:
+    """``kernel`` over each whole image of ``pixels(img, y, x, value)``: one exchange by image, one array per group.
 
-    Border 'reflect' mirrors, 'replicate' repeats the rim, 'ignore' has no neighbour outside.
+    The image is as large as its pixels say, and pixels it lacks are 0. The result ``out`` (name and
+    SQL type) is given for every pixel of the kernel's image, which may be of another size.
     """
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(weight).alias("weight")) for dy, dx, weight in offsets))
-    around = pixels.select("img", "y", "x", F.explode(steps).alias("o")).select("img", "y", "x", (F.col("y") + F.col("o.dy")).alias("sy"), (F.col("x") + F.col("o.dx")).alias("sx"), "o.weight")
-    if border == "reflect":
-        around = around.withColumns({"sy": point.reflect(F.col("sy"), h), "sx": point.reflect(F.col("sx"), w)})
-    elif border == "replicate":
-        around = around.withColumns({"sy": F.least(F.greatest("sy", F.lit(0)), F.lit(h - 1)), "sx": F.least(F.greatest("sx", F.lit(0)), F.lit(w - 1))})
-    source = pixels.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return around.join(source, ["img", "sy", "sx"]).select("img", "y", "x", "v", "weight")
+    name, _, sort = out.partition(" ")
+    kind = dict(pixels.dtypes)["img"]
 
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", value))
+        img = np.zeros((y.max() + 1, x.max() + 1), dtype=level)
+        img[y, x] = v
+        made = kernel(img)
+        yy, xx = np.mgrid[0 : made.shape[0], 0 : made.shape[1]].reshape(2, -1).astype(np.int32)
+        target = {"int": np.int32, "bigint": np.int64, "double": np.float64, "boolean": bool}[sort]
+        return pa.table({"img": pa.repeat(table.column("img")[0], made.size), "y": pa.array(yy), "x": pa.array(xx), name: pa.array(made.ravel().astype(target))})
 
-def weighted_sum(pixels: DataFrame, weights: list[int] | list[float], h: int, w: int, border: str) -> DataFrame:
-    """Separable sum of ``weights`` along rows, then columns."""
-    half = len(weights) // 2
-    along = gather(pixels, [(0, i - half, k) for i, k in enumerate(weights)], h, w, border).groupBy(*AT).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
-    return gather(along, [(i - half, 0, k) for i, k in enumerate(weights)], h, w, border).groupBy(*AT).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    return pixels.select("img", "y", "x", value).groupBy("img").applyInArrow(run, f"img {kind}, y int, x int, {name} {sort}")
 
 
-def gaussian_blur5(pixels: DataFrame, h: int, w: int) -> DataFrame:
-    return weighted_sum(pixels, [1, 4, 6, 4, 1], h, w, "reflect").select("img", "y", "x", F.expr("cast((v + 128) div 256 as int)").alias("v"))
+def gaussian_blur5(pixels: DataFrame) -> DataFrame:
+    return by_kernel(pixels, lambda img: kernels.blur(img, 5))
 
 
-def adaptive_ink(pixels: DataFrame, weights: list[float], offset: int, h: int, w: int) -> DataFrame:
+def adaptive_ink(pixels: DataFrame, block: int = 25, offset: int = 5) -> DataFrame:
     """``(img, y, x, ink)``: no brighter than the weighted surroundings less ``offset``."""
-    local = weighted_sum(pixels.select("img", "y", "x", F.col("v").cast("double").alias("v")), weights, h, w, "replicate").withColumnRenamed("v", "mean")
-    return pixels.join(local, list(AT)).select("img", "y", "x", (F.col("v") <= F.floor(F.round("mean", 6) + 0.5) - offset).alias("ink"))
+    return by_kernel(pixels, lambda img: kernels.adaptive_ink(img, block, offset), "ink boolean")
 
 
 def rect_extreme(pixels: DataFrame, radius: int, what: str) -> DataFrame:
@@ -93,10 +96,10 @@ def rect_extreme(pixels: DataFrame, radius: int, what: str) -> DataFrame:
     return pixels.withColumn("v", pick("v").over(row)).withColumn("v", pick("v").over(column)).select("img", "y", "x", "v")
 
 
-def shape_extreme(pixels: DataFrame, offsets: Iterable[tuple[int, int]], what: str, h: int, w: int) -> DataFrame:
+def shape_extreme(pixels: DataFrame, offsets: Iterable[tuple[int, int]], what: str) -> DataFrame:
     """Minimum or maximum over a set of offsets; neighbours outside do not count."""
-    pick = {"min": F.min, "max": F.max}[what]
-    return gather(pixels, [(dy, dx, 1) for dy, dx in offsets], h, w, "ignore").groupBy(*AT).agg(pick("v").alias("v"))
+    steps, pick = list(offsets), {"min": kernels.erode, "max": kernels.dilate}[what]
+    return by_kernel(pixels, lambda img: pick(img, steps))
 
 
 def runs(ink: DataFrame, along: str = "x") -> DataFrame:
@@ -115,11 +118,14 @@ def long_line_pixels(ink: DataFrame, length: int) -> DataFrame:
     return parts[0].union(parts[1]).distinct()
 
 
-def box_sums(marks: DataFrame, h: int, w: int, before: int, after: int) -> DataFrame:
-    """Sums of ``v`` over a box from ``before`` left and above to ``after`` right and below, mirrored at the rim."""
-    span = range(-before, after + 1)
-    along = gather(marks, [(0, d, 1) for d in span], h, w, "reflect").groupBy(*AT).agg(F.sum("v").alias("v"))
-    return gather(along, [(d, 0, 1) for d in span], h, w, "reflect").groupBy(*AT).agg(F.sum("v").alias("v"))
+def line_residue(marks: DataFrame, length: int = 120) -> DataFrame:
+    """Pixels ``(img, y, x)`` of ``marks(img, y, x, v)``, 1 for ink, that stay when opened by lines of ``length`` along rows or columns."""
+    return by_kernel(marks, lambda img: kernels.line_residue(img > 0, length), "v boolean").where("v").select("img", "y", "x")
+
+
+def box_sums(marks: DataFrame, size: int = 16) -> DataFrame:
+    """Sums of ``v`` over a box of ``size``, mirrored at the rim."""
+    return by_kernel(marks, lambda img: kernels.box_sum(img, size), "v bigint")
 
 
 def transform_at(pixels: DataFrame, y: Column, x: Column) -> DataFrame:
@@ -176,16 +182,11 @@ def component_labels(ink: DataFrame) -> DataFrame:
 
     Every image's ink is labelled by the run-based kernel in one Arrow group per image.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    from rasterloom.operators.kernels import label
-
     def run(table: pa.Table) -> pa.Table:
         y, x = (table.column(c).to_numpy() for c in "yx")
         mask = np.zeros((y.max() + 1, x.max() + 1), dtype=bool)
         mask[y, x] = True
-        marks, n = label(mask)
+        marks, n = kernels.label(mask)
         key = y.astype(np.int64) * 65536 + x
         least = np.full(n + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, marks[y, x], key)
@@ -208,20 +209,24 @@ def remove_small_dots(pixels: DataFrame, least: int = 3, threshold: int = 128) -
     return pixels.join(gone, list(AT), "left").select("img", "y", "x", F.coalesce("gone", "v").cast("int").alias("v"))
 
 
-def remove_noise(ink: DataFrame, small: int, medium: int, radius: int, density: float, h: int, w: int) -> DataFrame:
-    """Ink ``(img, y, x)`` without specks and compact blobs that no large component is near."""
-    from rasterloom.operators.kernels import ellipse
-
-    labels = component_labels(ink)
-    stats = component_stats(labels)
-    large = labels.join(stats.where(F.col("area") >= medium).select("img", "label"), ["img", "label"])
-    grown = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ellipse(radius)))
-    zone = large.select("img", "y", "x", F.explode(grown).alias("o")).select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-    near = labels.join(zone, list(AT), "left_semi").select("img", "label").distinct().withColumn("near", F.lit(True))
-    shape = F.col("width") / F.col("height")
-    blob = (F.col("area") / (F.col("width") * F.col("height")) > density) & (shape > 0.5) & (shape < 2.0)
-    gone = stats.join(near, ["img", "label"], "left").where(F.col("near").isNull() & ((F.col("area") < small) | ((F.col("area") < medium) & blob)))
-    return labels.join(gone.select("img", "label"), ["img", "label"], "left_anti").select("img", "y", "x")
+def remove_noise(ink: DataFrame, small: int = 20, medium: int = 100, radius: int = 25, density: float = 0.60) -> DataFrame:
+    """Ink ``(img, y, x)`` without specks and compact blobs that no large component is near; components are labelled once."""
+    marks = ink.select("img", "y", "x", F.lit(1).alias("v"))
+    return by_kernel(marks, lambda img: kernels.remove_noise(img > 0, small, medium, radius, density)[0], "v boolean").where("v").select("img", "y", "x")
+
+
+def noise_counts(ink: DataFrame, small: int = 20, medium: int = 100, radius: int = 25, density: float = 0.60) -> DataFrame:
+    """``(img, removed_small, removed_medium, kept_medium)``: what :func:`remove_noise` drops and spares, in components."""
+    kind = dict(ink.dtypes)["img"]
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x = (table.column(c).to_numpy() for c in "yx")
+        mask = np.zeros((y.max() + 1, x.max() + 1), dtype=bool)
+        mask[y, x] = True
+        counts = kernels.remove_noise(mask, small, medium, radius, density)[1]
+        return pa.table({"img": table.column("img")[:1], **{k: pa.array([n], pa.int64()) for k, n in counts.items()}})
+
+    return ink.select("img", "y", "x").groupBy("img").applyInArrow(run, f"img {kind}, removed_small long, removed_medium long, kept_medium long")
 
 
 def paint(pixels: DataFrame, edits: DataFrame) -> DataFrame:

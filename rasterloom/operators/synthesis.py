@@ -295,9 +295,10 @@ def augment(dirty: np.ndarray, clean: np.ndarray, rng: np.random.Generator) -> t
     return np.ascontiguousarray(dirty), np.ascontiguousarray(clean)
 
 
-def training_planes(dirty: np.ndarray, clean: np.ndarray, index: int, patch: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """One augmented crop, at the same place of both pages, gray in [0, 1]."""
-    dirty, clean = augment(dirty, clean, np.random.default_rng(seed + index))
+def training_planes(dirty: np.ndarray, clean: np.ndarray, index: int, patch: int, seed: int = 42, changed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """One crop, at the same place of both pages, gray in [0, 1]; augmented if ``changed``."""
+    if changed:
+        dirty, clean = augment(dirty, clean, np.random.default_rng(seed + index))
     h, w = dirty.shape[:2]
     if min(h, w) < patch:
         raise ValueError("the page is smaller than the patch")
@@ -309,28 +310,37 @@ def training_planes(dirty: np.ndarray, clean: np.ndarray, index: int, patch: int
 # Tables
 
 
-def recipes(spark: SparkSession, n: int, size: int, seed: int = 42, robust_prob: float = 0.5) -> DataFrame:
-    """The parameter table ``(idx, degradation, robust, archetype, ink, recipe)``, recipe as JSON."""
+def recipes(spark: SparkSession, n: int, size: int, seed: int = 42, robust_prob: float = 0.5, tiles: int = 0, tile_prob: float = 0.0) -> DataFrame:
+    """The parameter table ``(idx, degradation, robust, archetype, ink, recipe)``, recipe as JSON.
+
+    ``tile_prob`` of the pages lie on one of ``tiles`` real backgrounds, if there are any.
+    """
     _check(n, size, robust_prob)
+    tile_prob = tile_prob if tiles else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [recipe(i, size, seed, robust_prob) for i in batch.column(0).to_pylist()]
+            made = [recipe(i, size, seed, robust_prob, tiles, tile_prob) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"idx": pa.array([m["idx"] for m in made], pa.int64()), "degradation": [m["degradation"] for m in made], "robust": [m["robust"] for m in made], "archetype": [m["archetype"] for m in made], "ink": pa.array([m["ink"] for m in made], pa.int32()), "recipe": [json.dumps(m) for m in made]})
 
     return spark.range(n).mapInArrow(run, "idx long, degradation string, robust boolean, archetype boolean, ink int, recipe string")
 
 
-def pairs(spark: SparkSession, n: int, size: int, seed: int = 42, robust_prob: float = 0.5) -> DataFrame:
-    """``(idx, dirty_name, dirty, clean_name, clean)`` with PNG bytes, one independent row per page."""
+def pairs(spark: SparkSession, n: int, size: int, seed: int = 42, robust_prob: float = 0.5, tiles: list[np.ndarray] | None = None, tile_prob: float = 0.5) -> DataFrame:
+    """``(idx, dirty_name, dirty, clean_name, clean)`` with PNG bytes, one independent row per page.
+
+    ``tiles`` are real backgrounds that ``tile_prob`` of the dirty pages lie on; a page is as large
+    as its tile allows.
+    """
+    shared = spark.sparkContext.broadcast(tiles or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for idx, made in zip(batch.column("idx").to_pylist(), batch.column("recipe").to_pylist()):
-                dirty, clean = render(json.loads(made))
+                dirty, clean = render(json.loads(made), shared.value)
                 yield pa.RecordBatch.from_pydict({"idx": pa.array([idx], pa.int64()), "dirty_name": [f"dirty_{idx:06d}.png"], "dirty": pa.array([encode_png(dirty)], pa.binary()), "clean_name": [f"clean_{idx:06d}.png"], "clean": pa.array([encode_png(clean)], pa.binary())})
 
-    return recipes(spark, n, size, seed, robust_prob).select("idx", "recipe").mapInArrow(run, "idx long, dirty_name string, dirty binary, clean_name string, clean binary")
+    return recipes(spark, n, size, seed, robust_prob, len(tiles or []), tile_prob).select("idx", "recipe").mapInArrow(run, "idx long, dirty_name string, dirty binary, clean_name string, clean binary")
 
 
 def _check(n: int, size: int, prob: float) -> None:

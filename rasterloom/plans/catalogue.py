@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rasterloom.functions import point
-from rasterloom.operators import kernels, network, pixels
+from rasterloom.operators import inference, kernels, network, pixels
 from rasterloom.plans import pages, rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +73,7 @@ add("blue_excess", "r2", lambda d: d.groupBy("img").agg(F.round(F.avg("b") - F.a
 
 def _color_ink(d: DataFrame) -> DataFrame:
     band = d.select("img", "y", "x", point.color_ink_band(*_bgr()).cast("int").alias("v"))
-    return pixels.shape_extreme(band, kernels.ellipse(1), "max", 8, 8)
+    return pixels.shape_extreme(band, kernels.ellipse(1), "max")
 
 
 _BANDS = " OR ".join(f"h BETWEEN {a} AND {b} AND s >= {s} AND top BETWEEN {lo} AND {hi} AND r - g > {rg} AND r - b > {rb}" for a, b, s, lo, hi, rg, rb in kernels.COLOR_INKS)
@@ -150,19 +152,19 @@ _W5 = "(VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) AS {}(d, k)"
 add(
     "gaussian_blur5",
     "r3",
-    lambda d: pixels.gaussian_blur5(d, 64, 64),
+    pixels.gaussian_blur5,
     f"h AS (SELECT a.img, a.y, a.x, sum(s.v * k) AS v FROM r3 a, {_W5.format('w')}, r3 s WHERE s.img = a.img AND s.y = a.y AND s.x = {_MIRROR.format('a.x + w.d')} GROUP BY 1, 2, 3) "
     f"SELECT a.img, a.y, a.x, CAST((sum(s.v * k) + 128) // 256 AS INT) AS v FROM h a, {_W5.format('w')}, h s WHERE s.img = a.img AND s.x = a.x AND s.y = {_MIRROR.format('a.y + w.d')} GROUP BY 1, 2, 3",
 )
-_K5 = [float(k) for k in kernels.gaussian_kernel(5, 0.3 * ((5 - 1) / 2 - 1) + 0.8)]
-_V5 = "(VALUES " + ", ".join(f"({i - 2}, {k!r}::DOUBLE)" for i, k in enumerate(_K5)) + ") AS {}(d, k)"
+_K25 = [float(k) for k in kernels.gaussian_kernel(25)]
+_V25 = "(VALUES " + ", ".join(f"({i - 12}, {k!r}::DOUBLE)" for i, k in enumerate(_K25)) + ") AS {}(d, k)"
 add(
     "adaptive_threshold_mask",
     "r3",
-    lambda d: pixels.adaptive_ink(d, _K5, 5, 64, 64),
-    f"h AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, sum(s.v * k) AS u FROM r3 a, {_V5.format('w')}, r3 s WHERE s.img = a.img AND s.y = a.y AND s.x = least(greatest(a.x + w.d, 0), 63) GROUP BY 1, 2, 3), "
-    f"m AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, sum(s.u * k) AS mean FROM h a, {_V5.format('w')}, h s WHERE s.img = a.img AND s.x = a.x AND s.y = least(greatest(a.y + w.d, 0), 63) GROUP BY 1, 2, 3) "
-    "SELECT img, y, x, v <= floor(round(mean, 6) + 0.5) - 5 AS ink FROM m",
+    pixels.adaptive_ink,
+    f"h AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, sum(s.v * k) AS u FROM r3 a, {_V25.format('w')}, r3 s WHERE s.img = a.img AND s.y = a.y AND s.x = least(greatest(a.x + w.d, 0), 63) GROUP BY 1, 2, 3), "
+    f"m AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, sum(s.u * k) AS mean FROM h a, {_V25.format('w')}, h s WHERE s.img = a.img AND s.x = a.x AND s.y = least(greatest(a.y + w.d, 0), 63) GROUP BY 1, 2, 3) "
+    "SELECT img, y, x, v <= floor(round(mean, 9) + 0.5) - 5 AS ink FROM m",
 )
 
 
@@ -179,21 +181,42 @@ def _shape_sql(source: str, what: str, radius: int) -> str:
     return f"SELECT a.img, a.y, a.x, {what}(s.v) AS v FROM {source} a, (VALUES {steps}) AS o(dy, dx), {source} s WHERE s.img = a.img AND s.y = a.y + dy AND s.x = a.x + dx GROUP BY 1, 2, 3"
 
 
-add("thicken_ellipse", "r3", lambda d: pixels.shape_extreme(d, kernels.ellipse(2), "min", 64, 64), _shape_sql("r3", "min", 2))
+add("thicken_ellipse", "r3", lambda d: pixels.shape_extreme(d, kernels.ellipse(2), "min"), _shape_sql("r3", "min", 2))
 add(
     "open_ellipse",
     "r3",
-    lambda d: pixels.shape_extreme(pixels.shape_extreme(d, kernels.ellipse(1), "min", 64, 64), kernels.ellipse(1), "max", 64, 64),
+    lambda d: pixels.by_kernel(d, lambda img: kernels.opening(img, kernels.ellipse(1))),
     f"e AS MATERIALIZED ({_shape_sql('r3', 'min', 1)}) {_shape_sql('e', 'max', 1)}",
 )
-add("influence_zone", "r3", lambda d: pixels.shape_extreme(d.select("img", "y", "x", (F.col("v") < 60).cast("int").alias("v")), kernels.ellipse(5), "max", 64, 64), "q AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM r3, (VALUES " + ", ".join(map(str, kernels.ellipse(5))) + ") AS o(dy, dx) WHERE v < 60) SELECT r3.img, r3.y, r3.x, CAST(q.img IS NOT NULL AS INT) AS v FROM r3 LEFT JOIN q ON q.img = r3.img AND q.y = r3.y AND q.x = r3.x")
+add(
+    "influence_zone",
+    "r3",
+    lambda d: pixels.shape_extreme(d.select("img", "y", "x", (F.col("v") < 25).cast("int").alias("v")), kernels.ellipse(25), "max"),
+    "q AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM r3, (VALUES " + ", ".join(map(str, kernels.ellipse(25))) + ") AS o(dy, dx) WHERE v < 25) SELECT r3.img, r3.y, r3.x, CAST(q.img IS NOT NULL AS INT) AS v FROM r3 LEFT JOIN q ON q.img = r3.img AND q.y = r3.y AND q.x = r3.x",
+)
 _RUN = "(SELECT img, {1} AS line, min({0}) AS a, max({0}) AS z FROM (SELECT *, {0} - row_number() OVER (PARTITION BY img, {1} ORDER BY {0}) AS k FROM r3 WHERE v < 128) GROUP BY img, {1}, k HAVING count(*) >= 4)"
 add("line_opening", "r3", lambda d: pixels.long_line_pixels(_ink(d), 4), f"SELECT r3.img, y, x FROM r3 JOIN {_RUN.format('x', 'y')} q ON q.img = r3.img AND q.line = y AND x BETWEEN a AND z UNION SELECT r3.img, y, x FROM r3 JOIN {_RUN.format('y', 'x')} q ON q.img = r3.img AND q.line = x AND y BETWEEN a AND z")
+_WIDE = "b AS (SELECT img, CAST(y * 4 + j AS INT) AS y, CAST(x * 4 + i AS INT) AS x, CAST(v < 170 AS INT) AS v FROM r3, range(4) a(j), range(4) c(i))"
+_ALONG = "{what}(v) OVER (PARTITION BY img, {across} ORDER BY {along} RANGE BETWEEN 60 PRECEDING AND 59 FOLLOWING) AS v"
+
+
+def _fourfold(d: DataFrame) -> DataFrame:
+    """Each pixel as a square of 4 x 4: images of 256 x 256."""
+    four = F.sequence(F.lit(0), F.lit(3))
+    return d.withColumn("j", F.explode(four)).withColumn("i", F.explode(four)).select("img", (F.col("y") * 4 + F.col("j")).cast("int").alias("y"), (F.col("x") * 4 + F.col("i")).cast("int").alias("x"), "v")
+
+
+def _opened_sql(along: str, across: str) -> str:
+    step = lambda what, source: f"SELECT img, y, x, {_ALONG.format(what=what, along=along, across=across)} FROM {source}"
+    return f"SELECT img, y, x FROM ({step('max', '(' + step('min', 'b') + ')')}) WHERE v = 1"
+
+
+add("line_residue_120", "r3", lambda d: pixels.line_residue(_fourfold(d).withColumn("v", (F.col("v") < 170).cast("int"))), f"{_WIDE} {_opened_sql('x', 'y')} UNION {_opened_sql('y', 'x')}")
 add("ink_runs", "r3", lambda d: pixels.runs(_ink(d)).where("length >= 4"), f"SELECT img, line, a AS start, CAST(z - a + 1 AS BIGINT) AS length FROM {_RUN.format('x', 'y')}")
 add(
     "box_residual_max",
     "r3",
-    lambda d: pixels.box_sums(d.select("img", "y", "x", (F.col("v") < 60).cast("long").alias("v")), 64, 64, 8, 7).groupBy("img").agg(F.max("v").alias("most")),
+    lambda d: pixels.box_sums(d.select("img", "y", "x", (F.col("v") < 60).cast("int").alias("v"))).groupBy("img").agg(F.max("v").alias("most")),
     "q AS (SELECT img, y, x, CAST(v < 60 AS BIGINT) AS v FROM r3), o AS (SELECT unnest(range(-8, 8)) AS d), h AS (SELECT a.img, a.y, a.x, CAST(sum(s.v) AS BIGINT) AS v FROM q a, o, q s WHERE s.img = a.img AND s.y = a.y AND s.x = "
     + _MIRROR.format("a.x + o.d") + " GROUP BY 1, 2, 3), f AS (SELECT a.img, a.y, a.x, CAST(sum(s.v) AS BIGINT) AS v FROM h a, o, h s WHERE s.img = a.img AND s.x = a.x AND s.y = " + _MIRROR.format("a.y + o.d") + " GROUP BY 1, 2, 3) SELECT img, max(v) AS most FROM f GROUP BY 1",
 )
@@ -202,7 +225,7 @@ _KERNEL = [(dy, dx, (dy + 2) * 3 + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)
 add(
     "conv3_relu",
     "r3",
-    lambda d: pixels.gather(d, _KERNEL, 64, 64, "ignore").groupBy("img", "y", "x").agg(F.greatest(F.sum(F.col("v") * F.col("weight")) - 4000, F.lit(0)).cast("long").alias("v")),
+    lambda d: pixels.by_kernel(d, lambda img: kernels.convolve3(img, np.array([k for _, _, k in _KERNEL]).reshape(3, 3), -4000), "v bigint"),
     "SELECT a.img, a.y, a.x, CAST(greatest(sum(s.v * k) - 4000, 0) AS BIGINT) AS v FROM r3 a, (VALUES " + ", ".join(map(str, _KERNEL)) + ") AS o(dy, dx, k), r3 s WHERE s.img = a.img AND s.y = a.y + dy AND s.x = a.x + dx GROUP BY 1, 2, 3",
 )
 
@@ -224,11 +247,21 @@ add(
 add(
     "remove_noise_components",
     "r1",
-    lambda d: pixels.remove_noise(_ink(d, 110), 3, 10, 1, 0.6, 8, 8),
+    lambda d: pixels.remove_noise(_ink(d, 110), 3, 10, 1, 0.6),
     "RECURSIVE " + _LABELS.format(110) + f", {_STATS}, big AS (SELECT l.* FROM l JOIN st USING (img, label) WHERE area >= 10), near AS (SELECT DISTINCT l.img, l.label FROM l JOIN big ON big.img = l.img AND abs(big.y - l.y) + abs(big.x - l.x) <= 1) "
     "SELECT l.img, l.y, l.x FROM l JOIN st USING (img, label) LEFT JOIN near n USING (img, label) WHERE NOT (n.img IS NULL AND (area < 3 OR area < 10 AND area / (width * height)::DOUBLE > 0.6 AND width / height::DOUBLE > 0.5 AND width / height::DOUBLE < 2))",
 )
 
+_SHAPE = "area / (width * height)::DOUBLE > 0.6 AND width / height::DOUBLE > 0.5 AND width / height::DOUBLE < 2"
+add(
+    "noise_counts",
+    "r1",
+    lambda d: pixels.noise_counts(_ink(d, 110), 3, 10, 1, 0.6),
+    "RECURSIVE " + _LABELS.format(110) + f", {_STATS}, big AS (SELECT l.* FROM l JOIN st USING (img, label) WHERE area >= 10), near AS (SELECT DISTINCT l.img, l.label FROM l JOIN big ON big.img = l.img AND abs(big.y - l.y) + abs(big.x - l.x) <= 1) "
+    f"SELECT img, count(*) FILTER (n.img IS NULL AND area < 3) AS removed_small, count(*) FILTER (n.img IS NULL AND area BETWEEN 3 AND 9 AND {_SHAPE}) AS removed_medium, count(*) FILTER (n.img IS NULL AND area BETWEEN 3 AND 9 AND NOT ({_SHAPE})) AS kept_medium "
+    "FROM st LEFT JOIN near n USING (img, label) GROUP BY img",
+)
+
 # Sets of pixels
 
 _A, _Z = "SELECT img, y, x FROM r3 WHERE v < 100", "SELECT img, y, x FROM r3 WHERE v % 3 = 0"
@@ -248,6 +281,8 @@ add(
     "z AS (SELECT img, max(y) + 1 + img * 7 AS h, max(x) + 1 AS w FROM r3 GROUP BY img), q AS (SELECT img, CASE WHEN h <= 32 THEN 32 ELSE 32 + ceil((h - 32) / 16.0) * 16 END::INT AS h, CASE WHEN w <= 32 THEN 32 ELSE 32 + ceil((w - 32) / 16.0) * 16 END::INT AS w FROM z), "
     "py AS (SELECT img, w, unnest(range(0, h - 31, 16))::INT AS py FROM q) SELECT img, py, unnest(range(0, w - 31, 16))::INT AS px FROM py",
 )
+QUERIES["tile_positions_udtf"] = lambda spark, sf_dir: _sizes(rasters.r3(spark, sf_dir)).lateralJoin(inference.Patches(F.col("h").outer(), F.col("w").outer(), F.lit(32), F.lit(16))).select("img", "py", "px")
+ORACLE_SQL["tile_positions_udtf"] = ORACLE_SQL["tile_positions"]
 _PAD = "SELECT img, CAST(j AS INT) AS y, CAST(i AS INT) AS x, v FROM r3, range(100) a(j), range(200) b(i) WHERE y = CASE WHEN j % 126 < 64 THEN j % 126 ELSE 126 - j % 126 END AND x = CASE WHEN i % 126 < 64 THEN i % 126 ELSE 126 - i % 126 END"
 add("reflect_pad", "r3", lambda d: pixels.reflect_pad(d, 64, 64, 100, 200), _PAD)
 _PATCH = "(SELECT unnest([0, 16, 32])::INT AS {0})"
@@ -272,8 +307,8 @@ add("downsample_area", "r3", lambda d: pixels.downsample(d, 4), "SELECT img, CAS
 add(
     "tile_pattern",
     "r1",
-    lambda d: d.where("img < 20").select("img", F.explode(F.sequence(F.col("y"), F.lit(29), F.lit(8))).alias("y"), "x", "v").select("img", "y", F.explode(F.sequence(F.col("x"), F.lit(20), F.lit(8))).alias("x"), "v"),
-    "SELECT img, CAST(j AS INT) AS y, CAST(i AS INT) AS x, v FROM r1, range(30) a(j), range(21) b(i) WHERE img < 20 AND y = j % 8 AND x = i % 8",
+    lambda d: d.select("img", F.explode(F.sequence(F.col("y"), F.lit(29), F.lit(8))).alias("y"), "x", "v").select("img", "y", F.explode(F.sequence(F.col("x"), F.lit(20), F.lit(8))).alias("x"), "v"),
+    "SELECT img, CAST(j AS INT) AS y, CAST(i AS INT) AS x, v FROM r1, range(30) a(j), range(21) b(i) WHERE y = j % 8 AND x = i % 8",
 )
 add(
     "brush_stroke",
@@ -319,36 +354,54 @@ add(
 )
 
 
-def _global_loss(d: DataFrame) -> DataFrame:
-    """0.7 MSE + 0.3 (1 - SSIM) in [0, 1], with one window over the whole small image."""
-    a, b = F.col("a") / 255.0, F.col("b") / 255.0
-    own = _next(d).groupBy("img").agg(F.avg((a - b) * (a - b)).alias("mse"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(a * a).alias("aa"), F.avg(b * b).alias("bb"), F.avg(a * b).alias("ab"))
-    ssim = F.expr("(2 * ma * mb + 0.0001D) * (2 * (ab - ma * mb) + 0.0009D) / ((ma * ma + mb * mb + 0.0001D) * (aa - ma * ma + bb - mb * mb + 0.0009D))")
-    return own.select("img", F.round(0.7 * F.col("mse") + 0.3 * (1 - ssim), 6).alias("loss"))
+def _summary(d: DataFrame) -> DataFrame:
+    odd = _mse_psnr(d).withColumn("psnr", F.when(F.col("img") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("psnr"))).withColumn("none", F.lit(float("nan")))
+    means = inference.summary(odd.drop("img"))
+    return means.select(F.round("mse", 4).alias("mse"), F.round("psnr", 4).alias("psnr"), F.isnan("none").alias("none_is_nan"))
 
 
 add(
-    "combined_loss",
+    "metric_summary",
     "r1",
-    _global_loss,
-    _NEXT.format("r1") + ", u AS (SELECT img, a / 255.0::DOUBLE AS a, b / 255.0::DOUBLE AS b FROM n), s AS (SELECT img, avg((a - b) * (a - b)) AS mse, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM u GROUP BY 1) "
-    "SELECT img, round(0.7::DOUBLE * mse + 0.3::DOUBLE * (1 - (2 * ma * mb + 0.0001::DOUBLE) * (2 * (ab - ma * mb) + 0.0009::DOUBLE) / ((ma * ma + mb * mb + 0.0001::DOUBLE) * (aa - ma * ma + bb - mb * mb + 0.0009::DOUBLE))), 6) AS loss FROM s",
+    _summary,
+    _NEXT.format("r1") + ", e AS (SELECT img, avg((a - b) * (a - b)) AS mse FROM n GROUP BY 1), k AS (SELECT round(mse, 6) AS mse, CASE WHEN mse = 0 OR img % 7 = 0 THEN NULL ELSE round(10 * log10(65025 / mse), 6) END AS psnr FROM e) SELECT round(avg(mse), 4) AS mse, round(avg(psnr), 4) AS psnr, true AS none_is_nan FROM k",
 )
 
+_GAUSS11 = [float(k) for k in kernels.gaussian_kernel(11, 1.5)]
+_V11 = "(VALUES " + ", ".join(f"({i - 5}, {k!r}::DOUBLE)" for i, k in enumerate(_GAUSS11)) + ") AS {}(d, k)"
+_FIVE = ("a", "b", "aa", "bb", "ab")
 
-def _summary(d: DataFrame) -> DataFrame:
-    from rasterloom.operators.inference import summary
 
-    odd = _mse_psnr(d).withColumn("psnr", F.when(F.col("img") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("psnr"))).withColumn("none", F.lit(float("nan")))
-    means = summary(odd.drop("img"))
-    return means.select(F.round("mse", 4).alias("mse"), F.round("psnr", 4).alias("psnr"), F.isnan("none").alias("none_is_nan"))
+def _pairwise(d: DataFrame, measure: Callable[[np.ndarray, np.ndarray], float], name: str) -> DataFrame:
+    """``measure`` of each image and the one that follows, as planes in [0, 1], in one Arrow group each."""
+    kind = dict(d.dtypes)["img"]
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x = (table.column(c).to_numpy() for c in "yx")
+        planes = np.zeros((2, y.max() + 1, x.max() + 1))
+        for plane, c in zip(planes, "ab"):
+            plane[y, x] = table.column(c).to_numpy() / 255.0
+        return pa.table({"img": table.column("img")[:1], name: pa.array([measure(*planes)], pa.float64())})
 
+    return _next(d).groupBy("img").applyInArrow(run, f"img {kind}, {name} double").select("img", F.round(name, 6).alias(name))
 
+
+_LOSS_SQL = (
+    _NEXT.format("r3") + ", u AS (SELECT img, y, x, a, b, a * a AS aa, b * b AS bb, a * b AS ab FROM (SELECT img, y, x, a / 255.0::DOUBLE AS a, b / 255.0::DOUBLE AS b FROM n)), "
+    + "h AS MATERIALIZED (SELECT p.img, p.y, p.x, " + ", ".join(f"sum(k * q.{c}) AS {c}" for c in _FIVE) + f" FROM u p, {_V11.format('w')}, u q WHERE q.img = p.img AND q.y = p.y AND q.x = p.x + w.d AND p.x BETWEEN 5 AND 58 GROUP BY 1, 2, 3), "
+    + "s AS (SELECT p.img, p.y, p.x, " + ", ".join(f"sum(k * q.{c}) AS {c}" for c in _FIVE) + f" FROM h p, {_V11.format('w')}, h q WHERE q.img = p.img AND q.x = p.x AND q.y = p.y + w.d AND p.y BETWEEN 5 AND 58 GROUP BY 1, 2, 3), "
+    + "i AS (SELECT img, avg((2 * a * b + 0.0001::DOUBLE) * (2 * (ab - a * b) + 0.0009::DOUBLE) / ((a * a + b * b + 0.0001::DOUBLE) * (aa - a * a + bb - b * b + 0.0009::DOUBLE))) AS ssim FROM s GROUP BY 1), "
+    + "e AS (SELECT img, avg((a - b) * (a - b)) AS mse FROM u GROUP BY 1) SELECT img, round({}, 6) AS {} FROM i JOIN e USING (img)"
+)
+add("ssim_gaussian11", "r3", lambda d: _pairwise(d, lambda a, b: kernels.ssim(a, b, "gaussian", 1.0), "ssim"), _LOSS_SQL.format("ssim", "ssim"))
+add("combined_loss", "r3", lambda d: _pairwise(d, kernels.combined_loss, "loss"), _LOSS_SQL.format("0.7::DOUBLE * mse + 0.3::DOUBLE * (1 - ssim)", "loss"))
+_COVER = "greatest(0, least(({0} + 1) * 8 / 3.0::DOUBLE, {1} + 1) - greatest({0} * 8 / 3.0::DOUBLE, {1}))"
 add(
-    "metric_summary",
-    "r1",
-    _summary,
-    _NEXT.format("r1") + ", e AS (SELECT img, avg((a - b) * (a - b)) AS mse FROM n GROUP BY 1), k AS (SELECT round(mse, 6) AS mse, CASE WHEN mse = 0 OR img % 7 = 0 THEN NULL ELSE round(10 * log10(65025 / mse), 6) END AS psnr FROM e) SELECT round(avg(mse), 4) AS mse, round(avg(psnr), 4) AS psnr, true AS none_is_nan FROM k",
+    "thumbnails",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: kernels.thumbnail(img, 24)),
+    f"t AS (SELECT img, CAST(j AS INT) AS y, CAST(i AS INT) AS x, sum(v * {_COVER.format('j', 'y')} * {_COVER.format('i', 'x')}) / (64 / 9.0::DOUBLE) AS m FROM r3, range(24) a(j), range(24) b(i) "
+    "WHERE y BETWEEN floor(j * 8 / 3.0) AND floor((j + 1) * 8 / 3.0) AND x BETWEEN floor(i * 8 / 3.0) AND floor((i + 1) * 8 / 3.0) GROUP BY 1, 2, 3) SELECT img, y, x, CAST(floor(round(m, 9) + 0.5) AS INT) AS v FROM t",
 )
 
 # Background tiles
@@ -457,11 +510,22 @@ add_table(
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine tenths train, in the order of a hash: the cut is found by counting, not by one sorted window."""
+    """Nine tenths train, in the order of a hash.
+
+    The cut is found by counting the buckets of the hash's first digits, then by ordering the one
+    bucket that it falls in, some thousandth of the rows; the table is never sorted.
+    """
     ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    n = ids.count()
-    cut = ids.select(F.struct("h", "doc_id").alias("k")).orderBy("k").limit(max(1, int(0.9 * n))).agg(F.max("k").alias("last"))
-    return ids.crossJoin(F.broadcast(cut)).select("doc_id", F.when(F.struct("h", "doc_id") <= F.col("last"), "train").otherwise("val").alias("part"))
+    counts = {r["bucket"]: r["n"] for r in ids.groupBy(F.substring("h", 1, 3).alias("bucket")).agg(F.count("*").alias("n")).collect()}  # 4096 at most
+    left, split = max(1, int(0.9 * sum(counts.values()))), ""
+    for split in sorted(counts):
+        if left <= counts[split]:
+            break
+        left -= counts[split]
+    last = ids.where(F.substring("h", 1, 3) == split).select(F.struct("h", "doc_id").alias("k")).orderBy("k").limit(left).agg(F.max("k").alias("k")).first()["k"]
+    key = (last["h"], last["doc_id"]) if last else ("", 0)
+    train = (F.col("h") < key[0]) | ((F.col("h") == key[0]) & (F.col("doc_id") <= key[1]))
+    return ids.select("doc_id", F.when(train, "train").otherwise("val").alias("part"))
 
 
 add_table(
@@ -469,6 +533,32 @@ add_table(
     _split,
     "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) <= greatest(1, floor(0.9 * count(*) OVER ())) THEN 'train' ELSE 'val' END AS part FROM documents",
 )
+_PARTS = "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) <= greatest(1, floor(0.9 * count(*) OVER ())) AS train FROM documents"
+add_table(
+    "validation_originals",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").join(_split(spark, sf_dir).where("part = 'val'"), "doc_id", "left_semi"),
+    f"SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_PARTS}) WHERE NOT train)",
+)
+add_table(
+    "random_k",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(F.concat(F.lit("42-"), F.col("doc_id").cast("string")).cast("binary")).alias("h")).orderBy("h", "doc_id").limit(4),
+    "SELECT doc_id, md5('42-' || doc_id) AS h FROM documents ORDER BY h, doc_id LIMIT 4",
+)
+add_table(
+    "page_clamp",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.max("event_id").alias("asked"), F.count("*").alias("pages")).select("event_type", "asked", "pages", F.greatest(F.lit(0).cast("long"), F.least(F.col("asked"), F.col("pages") - 1)).alias("page")),
+    "SELECT event_type, max(event_id) AS asked, count(*) AS pages, greatest(0, least(max(event_id), count(*) - 1)) AS page FROM events GROUP BY 1",
+)
+add_table(
+    "odd_blocks",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").bitwiseOR(F.lit(1)).alias("block")),
+    "SELECT p_partkey, p_size | 1 AS block FROM part",
+)
+add_table(
+    "throughput",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("pages"), F.round(F.sum("value"), 4).alias("elapsed")).select("event_type", "pages", "elapsed", F.round(F.col("elapsed") / F.col("pages"), 6).alias("per_page")),
+    "SELECT event_type, count(*) AS pages, round(sum(value), 4) AS elapsed, round(round(sum(value), 4) / count(*), 6) AS per_page FROM events GROUP BY 1",
+)
 add_table(
     "cosine_lr",
     lambda spark, _: spark.range(1, 51).select(F.col("id").alias("epoch"), F.round(point.cosine_rate(1e-3, F.col("id"), 50), 10).alias("lr")),
@@ -489,7 +579,7 @@ add_table(
 def _paint(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     edits = events.select((F.col("event_id") % 50).alias("img"), (F.col("user_id") % 8).cast("int").alias("y"), (F.expr("event_id div 50") % 8).cast("int").alias("x"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, 255).otherwise(0).alias("value"))
-    return pixels.paint(rasters.r1(spark, sf_dir).where("img < 50"), edits)
+    return pixels.paint(rasters.r1(spark, sf_dir), edits)
 
 
 add_table(
@@ -498,7 +588,7 @@ add_table(
     rasters.sql(
         "r1",
         "e AS (SELECT event_id % 50 AS img, user_id % 8 AS y, event_id // 50 % 8 AS x, arg_max(CASE WHEN event_id % 3 = 0 THEN 255 ELSE 0 END, event_id) AS value FROM events GROUP BY 1, 2, 3) "
-        "SELECT r1.img, r1.y, r1.x, CAST(coalesce(value, v) AS INT) AS v FROM r1 LEFT JOIN e ON e.img = r1.img AND e.y = r1.y AND e.x = r1.x WHERE r1.img < 50",
+        "SELECT r1.img, r1.y, r1.x, CAST(coalesce(value, v) AS INT) AS v FROM r1 LEFT JOIN e ON e.img = r1.img AND e.y = r1.y AND e.x = r1.x",
     ),
 )
 add_table(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import shutil
 import struct
+import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,6 +39,26 @@ def encode_png(img: np.ndarray) -> bytes:
     return _PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
+def encode_bmp(img: np.ndarray) -> bytes:
+    """24-bit BMP of a gray or BGR image of uint8: rows from the bottom, padded to four bytes."""
+    body = np.repeat(img[..., None], 3, axis=2) if img.ndim == 2 else img
+    h, w = body.shape[:2]
+    rows = np.zeros((h, -(-3 * w // 4) * 4), dtype=np.uint8)
+    rows[:, : 3 * w] = body[::-1].reshape(h, -1)
+    return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+#: Encoders by extension; a name with another one is an error.
+ENCODERS = {"png": encode_png, "bmp": encode_bmp}
+
+
+def encode(name: str, img: np.ndarray) -> bytes:
+    extension = name.rpartition(".")[2].lower()
+    if extension not in ENCODERS:
+        raise ValueError(f"no encoder for {name}: one of {', '.join(ENCODERS)}")
+    return ENCODERS[extension](img)
+
+
 def unpack(row: dict) -> np.ndarray:
     """The array of a packed row; four channels lose alpha."""
     shape = (row["height"], row["width"], row["channels"])
@@ -48,13 +72,28 @@ def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXT
     return listed.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions)).orderBy("path")
 
 
-def scan(spark: SparkSession, path: str, strict: bool = True, color: bool = True) -> DataFrame:
-    """Decoded images as packed rows; BGR, or gray with one channel.
+def tiles(spark: SparkSession, folder: str | None) -> list[np.ndarray]:
+    """Background tiles, the PNG files of a folder by name; none where there is no folder or no file in it.
+
+    Their number is part of a recipe, so all are read; they are small and the caller's own.
+    """
+    if folder is None or not discover(spark, folder, ("png",)).take(1):
+        return []
+    return [unpack(r.asDict()) for r in scan(spark, folder, extensions=("png",)).orderBy("path").collect()]
+
+
+def _glob(extensions: tuple[str, ...]) -> str:
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+def scan(spark: SparkSession, path: str, strict: bool = True, color: bool = True, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Decoded images as packed rows; BGR, or gray with one channel. ``extensions`` passes other files over.
 
     A file that is no image fails the query, or is left out if not ``strict``. Paths are those of
     the files, not percent-encoded.
     """
-    raw = spark.read.format("image").option("dropInvalid", str(not strict).lower()).load(path)
+    reader = spark.read.format("image").option("dropInvalid", str(not strict).lower())
+    raw = (reader.option("pathGlobFilter", _glob(extensions)) if extensions else reader).load(path)
     origin = F.url_decode(F.regexp_replace("image.origin", r"\+", "%2B"))
     cols = raw.select(origin.alias("path"), *(F.col(f"image.{a}").alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))))
     if strict:
@@ -87,6 +126,21 @@ def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     return images.select("path", "height", "width", "channels", "data").mapInArrow(run, PACKED)
 
 
+def map_named(images: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """Packed rows of the images that ``kernel`` makes of each, path the page's name, an underscore, theirs and ``.png``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                stem = os.path.splitext(os.path.basename(row["path"]))[0]
+                for name, out in kernel(unpack(row)).items():
+                    made = {"path": f"{stem}_{name}.png", "height": out.shape[0], "width": out.shape[1], "channels": 1 if out.ndim == 2 else out.shape[2], "data": np.ascontiguousarray(out).tobytes()}
+                    yield pa.RecordBatch.from_pylist([made], schema=_ARROW)
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, PACKED)
+
+
 _ARROW = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
 
 
@@ -107,25 +161,35 @@ def explode_pixels(images: DataFrame, image_id: str = "path") -> DataFrame:
 
 
 def write_images(images: DataFrame, folder: str, name: str = "regexp_extract(path, '([^/]+?)(?:[.][^./]+)?$', 1) || '_clean.png'") -> DataFrame:
-    """Write packed rows as PNG files into a folder that all executors reach; returns ``(name, bytes)``.
+    """Write packed rows as image files into a folder that all executors reach; returns ``(name, bytes)``.
 
-    ``name`` is a SQL expression. A file appears under its name when it is whole.
+    ``name`` is a SQL expression; its extension chooses the encoder. A file appears under its name when it is whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                body = encode_png(unpack(row))
-                at = f"{root}/{row['name']}"
+                yield pa.RecordBatch.from_pydict({"name": pa.array([row["name"]]), "body": pa.array([encode(row["name"], unpack(row))], pa.binary())})
+
+    return write_files(images.withColumn("name", F.expr(name)).mapInArrow(run, "name string, body binary"), folder)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write ``files(name, body)`` into a folder that all executors reach; returns ``(name, bytes)``. A file appears when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = f"{root}/{name}"
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(f"{at}.part") as out:
                     out.write(body)
                 system.move(f"{at}.part", at)
-                yield pa.RecordBatch.from_pydict({"name": pa.array([row["name"]]), "bytes": pa.array([len(body)], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "bytes": pa.array([len(body)], pa.int64())})
 
-    return images.withColumn("name", F.expr(name)).mapInArrow(run, "name string, bytes long")
+    return files.select("name", "body").mapInArrow(run, "name string, bytes long")
 
 
 def integrity(spark: SparkSession, path: str, size: int | None, digest: str) -> DataFrame:
@@ -136,6 +200,40 @@ def integrity(spark: SparkSession, path: str, size: int | None, digest: str) ->
     return files.select("path", "length", sha.alias("sha256"), F.coalesce(sha == digest.lower(), F.lit(False)).alias("valid"))
 
 
+def fetch(url: str, path: str, size: int | None, digest: str) -> bool:
+    """Download to ``path`` unless a valid file is there; false if one was. It appears under its name once it is whole and valid."""
+
+    def valid(at: str) -> bool:
+        if not os.path.isfile(at) or size is not None and os.path.getsize(at) != size:
+            return False
+        with open(at, "rb") as file:
+            return hashlib.file_digest(file, "sha256").hexdigest() == digest.lower()
+
+    if valid(path):
+        return False
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    part = f"{path}.part"
+    try:
+        with urllib.request.urlopen(url) as answer, open(part, "wb") as file:
+            shutil.copyfileobj(answer, file, 1 << 16)
+        if not valid(part):
+            raise RuntimeError(f"what {url} gave is not what it should be")
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return True
+
+
+def training_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log of a training run."""
+    return spark.read.schema("epoch int, train_loss double, val_loss double, lr double, elapsed_s double").option("header", True).csv(path)
+
+
+def write_config(said: dict) -> str:
+    return json.dumps(said, indent=2, ensure_ascii=False)
+
+
 def read_config(text: str | None) -> dict:
     """A JSON object, empty where there is none to read."""
     try:

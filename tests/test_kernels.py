@@ -1,5 +1,13 @@
 """Kernels on small images: literals, guards and invariants."""
 
+import collections
+import io
+import os
+import pickle
+import sys
+import types
+import zipfile
+
 import numpy as np
 import pytest
 
@@ -178,13 +186,13 @@ def test_gradients():
     weights = N.initial(1, (2, 4))
     rng = np.random.default_rng(6)
     x, y = rng.random((2, 1, 8, 8)), rng.random((2, 1, 8, 8))
-    grads = N.mse_step(weights, x, y)[1]
+    grads = N.loss_step(weights, x, y)[1]
     for key in ("rise0.weight", "head.weight", "up0.norm1.shift"):
         at = (0,) * weights[key].ndim
         moved = [{k: w.copy() for k, w in weights.items()} for _ in range(2)]
         moved[0][key][at] += 1e-2
         moved[1][key][at] -= 1e-2
-        slope = (N.mse_step(moved[0], x, y)[0] - N.mse_step(moved[1], x, y)[0]) / 2e-2
+        slope = (N.loss_step(moved[0], x, y)[0] - N.loss_step(moved[1], x, y)[0]) / 2e-2
         assert grads[key][at] == pytest.approx(slope, rel=0.1, abs=1e-5)
 
 
@@ -225,3 +233,80 @@ def test_real_background_is_not_enlarged():
 def test_apportion_and_config():
     assert sum(S.apportion(23, S.STROKES)) == 23 and S.apportion(20, S.STROKES)[0] == 8
     assert read_config(None) == {} and read_config("[1]") == {} and read_config("{bad") == {} and read_config('{"a": 1}') == {"a": 1}
+
+
+def test_slope_of_the_combined_loss():
+    rng = np.random.default_rng(6)
+    a, b = rng.random((14, 17)), rng.random((14, 17))
+    same, slope = K.ssim_slope(a, b)
+    assert abs(same - K.ssim(a, b, "gaussian", 1.0)) < 1e-12
+    for y, x in ((0, 0), (7, 8), (13, 16), (4, 2)):
+        moved = [a.copy(), a.copy()]
+        moved[0][y, x] += 1e-5
+        moved[1][y, x] -= 1e-5
+        assert abs((K.ssim_slope(moved[0], b)[0] - K.ssim_slope(moved[1], b)[0]) / 2e-5 - slope[y, x]) < 1e-7
+    with pytest.raises(ValueError):
+        K.ssim_slope(a[:10], b[:10])
+
+
+def _checkpoint(held, path):
+    """What a framework writes: a zip with a pickle that names storages, and the storages."""
+    torch, utils = types.ModuleType("torch"), types.ModuleType("torch._utils")
+    torch.FloatStorage = type("FloatStorage", (), {"__module__": "torch"})
+    exec("def _rebuild_tensor_v2(*a): pass", utils.__dict__)
+    sys.modules |= {"torch": torch, "torch._utils": utils}
+
+    class Tensor:
+        def __init__(self, key, array):
+            self.key, self.array = key, array
+
+    class Storage:
+        def __init__(self, key, array):
+            self.pid = ("storage", torch.FloatStorage, key, "cpu", array.size)
+
+    class Writer(pickle.Pickler):
+        def persistent_id(self, x):
+            return x.pid if isinstance(x, Storage) else None
+
+    Tensor.__reduce__ = lambda self: (utils._rebuild_tensor_v2, (Storage(self.key, self.array), 0, self.array.shape, tuple(s // 4 for s in self.array.strides), False, collections.OrderedDict()))
+    body = io.BytesIO()
+    Writer(body, 2).dump(collections.OrderedDict((k, Tensor(str(i), v)) for i, (k, v) in enumerate(held.items())))
+    with zipfile.ZipFile(path, "w") as out:
+        out.writestr("best/data.pkl", body.getvalue())
+        for i, v in enumerate(held.values()):
+            out.writestr(f"best/data/{i}", v.astype("<f4").tobytes())
+    for name in ("torch", "torch._utils"):
+        del sys.modules[name]
+
+
+def test_checkpoints_of_named_tensors(tmp_path):
+    """A network of two steps under the names of a checkpoint gives what a plain forward pass gives."""
+    rng, held = np.random.default_rng(7), {}
+    for name, a, b in (("enc1", 1, 2), ("bottleneck", 2, 4), ("dec1", 4, 2)):
+        for at, (i, o) in ((0, (a, b)), (3, (b, b))):
+            held[f"{name}.block.{at}.weight"] = rng.normal(0, 0.5, (o, i, 3, 3)).astype("f4")
+            for part in ("weight", "bias", "running_mean", "running_var"):
+                held[f"{name}.block.{at + 1}.{part}"] = rng.uniform(0.5, 1.5, o).astype("f4")
+    held |= {"up1.weight": rng.normal(0, 0.5, (4, 2, 2, 2)).astype("f4"), "up1.bias": rng.normal(0, 1, 2).astype("f4"), "out_conv.weight": rng.normal(0, 1, (1, 2, 1, 1)).astype("f4"), "out_conv.bias": rng.normal(0, 1, 1).astype("f4")}
+    _checkpoint(held, tmp_path / "best.pt")
+    x = rng.random((6, 8))
+
+    def block(planes, name):
+        for at in (0, 3):
+            w, norm = held[f"{name}.block.{at}.weight"], [held[f"{name}.block.{at + 1}.{p}"][:, None, None] for p in ("weight", "bias", "running_mean", "running_var")]
+            wide, (_, h, wd) = np.pad(planes, ((0, 0), (1, 1), (1, 1))), planes.shape
+            out = np.array([sum((w[o, c, i, j] * wide[c, i : i + h, j : j + wd] for c in range(len(planes)) for i in range(3) for j in range(3)), np.zeros((h, wd))) for o in range(len(w))])
+            planes = np.maximum((out - norm[2]) / np.sqrt(norm[3] + 1e-5) * norm[0] + norm[1], 0)
+        return planes
+
+    skip = block(x[None], "enc1")
+    deep = block(skip.reshape(2, 3, 2, 4, 2).max(axis=(2, 4)), "bottleneck")
+    grown = np.einsum("chw,coij->ohiwj", deep, held["up1.weight"]).reshape(2, 6, 8) + held["up1.bias"][:, None, None]
+    last = block(np.concatenate((grown, skip)), "dec1")
+    want = 1 / (1 + np.exp(-(np.einsum("c,chw->hw", held["out_conv.weight"][0, :, 0, 0], last) + held["out_conv.bias"][0])))
+    got = N.forward(N.load((tmp_path / "best.pt").read_bytes()), x[None, None])
+    assert np.allclose(got[0, 0], want, atol=1e-5)
+    with zipfile.ZipFile(tmp_path / "bad.pt", "w") as out:
+        out.writestr("a/data.pkl", pickle.dumps(os.system))
+    with pytest.raises(pickle.UnpicklingError):
+        N.load((tmp_path / "bad.pt").read_bytes())
