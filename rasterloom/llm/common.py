@@ -38,8 +38,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove what was written below the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in batches of some MB, so that long texts do not add up to large ones."""
+    """Hand rows to Python in batches of some MB, so that long texts do not add up to large ones.
+
+    Spark reads these settings when a query runs, after the query's function has returned, so they
+    stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 

@@ -1,4 +1,8 @@
-"""Queries of the training-data operators, over whole tables, with production parameters."""
+"""Queries of the training-data operators, over whole tables, with production parameters.
+
+Each states nulls, empty tables, repeated rows and extra columns where its operator does; the
+queries add columns of digests only.
+"""
 
 from __future__ import annotations
 
