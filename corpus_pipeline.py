@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, langid, packing, queries, secrets, simhash
-from rasterloom.llm.common import bound_batches, shared_path
+from rasterloom.llm.common import bound_batches, delete, shared_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that remain of documents after all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces that remain of documents after all stages.
+
+    Null and empty texts are in no language, so the first stage drops them; rows with a null id
+    stay; an empty table gives an empty result. A stage's table is deleted once the next one is
+    written. Queries set the session's Arrow batches, see :func:`rasterloom.llm.common.bound_batches`.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
