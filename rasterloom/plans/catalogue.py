@@ -262,6 +262,15 @@ add(
     "FROM st LEFT JOIN near n USING (img, label) GROUP BY img",
 )
 
+add(
+    "postprocess_pixels",
+    "r1",
+    lambda d: pixels.by_kernel(d, kernels.postprocess),
+    "RECURSIVE " + _MODE.format("r1") + ", w AS (SELECT r1.img, y, x, " + _LEVEL.format("v * 255.0::DOUBLE / least(greatest(mode - 10, 1), 255)") + " AS v FROM r1 JOIN m USING (img)), " + _LABELS.format(128).replace("FROM r1", "FROM w") + f", {_STATS}, "
+    "d AS (SELECT w.img, w.y, w.x, CASE WHEN st.area < 3 THEN 255 ELSE v END AS v FROM w LEFT JOIN l ON l.img = w.img AND l.y = w.y AND l.x = w.x LEFT JOIN st ON st.img = l.img AND st.label = l.label) "
+    f"SELECT a.img, a.y, a.x, min(s.v) AS v FROM d a, {_CROSS}, d s WHERE s.img = a.img AND s.y = a.y + dy AND s.x = a.x + dx GROUP BY 1, 2, 3",
+)
+
 # Sets of pixels
 
 _A, _Z = "SELECT img, y, x FROM r3 WHERE v < 100", "SELECT img, y, x FROM r3 WHERE v % 3 = 0"
