@@ -29,8 +29,10 @@ from .common import give_back
 
 #: Characters of text whose words share one dictionary.
 CHUNK = 4_000_000
-#: Input bytes for each part that dictionaries are dealt out in, and the bounds of that number.
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 4_000_000, 32, 4096
+#: Input bytes for each part that dictionaries are dealt out in, and the least number of parts.
+PART_BYTES, LEAST_PARTS = 4_000_000, 32
+#: Beyond so many parts a dictionary's share is a few words only, so parts grow to this size before their number does.
+MANY_PARTS, WIDE_PART_BYTES = 4096, 256_000_000
 #: Documents whose positions travel in one row.
 ROW_DOCS = 512
 #: A space next to white space, as any Unicode version has it, or at an end: no place to cut.
@@ -268,10 +270,15 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
     return _joined(docs, definition, id_col, text_col).applyInArrow(_join, "doc_id long, ids binary")
 
 
+def parts_for(size: int) -> int:
+    """Parts for so many bytes of input: their number has no ceiling, and a part stands for 256 MB of input at most."""
+    return max(LEAST_PARTS, min(MANY_PARTS, size // PART_BYTES), -(-size // WIDE_PART_BYTES))
+
+
 def _joined(docs: DataFrame, definition: str, id_col: str, text_col: str) -> GroupedData:
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = int(str(only._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(LEAST_PARTS, min(MOST_PARTS, size // PART_BYTES))
+    n = parts_for(size)
     dealt = only.mapInArrow(_dictionaries(n), "chunk long, part int, words binary").repartition(n, "part")  # by number: encoding is slow for its bytes, so partitions are not merged
     ids = word_ids(dealt, definition)
     return only.mapInArrow(_positions(n), _ROW).union(ids).groupBy("chunk")

@@ -409,6 +409,15 @@ def test_decoding_of_broken_bytes(spark, definition):
     assert said == {1: Tokenizer.from_str(definition).decode([187]), 2: None, 3: ""}
 
 
+def test_bpe_parts_have_a_size_and_no_ceiling(spark, docs, definition, monkeypatch):
+    sizes = [0, 10**6, 10**9, 16 * 10**9, 10**12, 10**13, 10**14]
+    parts = [bpe.parts_for(s) for s in sizes]
+    assert parts == sorted(parts) and all(s <= n * bpe.WIDE_PART_BYTES for s, n in zip(sizes, parts))
+    few = {(r["doc_id"], bytes(r["ids"])) for r in bpe.encode(docs, definition).collect()}
+    monkeypatch.setattr(bpe, "parts_for", lambda size: 150)  # more parts than words
+    assert {(r["doc_id"], bytes(r["ids"])) for r in bpe.encode(docs, definition).collect()} == few
+
+
 def test_bpe_of_the_corpus(spark, corpus, definition):
     for r in queries.op7_bpe_round_trip(spark, SF).collect():
         ids, decoded = expected(corpus[r["doc_id"]], definition)
