@@ -278,6 +278,8 @@ def parts_for(size: int) -> int:
 def _joined(docs: DataFrame, definition: str, id_col: str, text_col: str) -> GroupedData:
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = int(str(only._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > MANY_PARTS * PART_BYTES:  # a plan's estimate may be far too large, or unknown
+        size = only.agg(F.sum(F.octet_length("text").cast("long") + 8)).first()[0] or 0
     n = parts_for(size)
     dealt = only.mapInArrow(_dictionaries(n), "chunk long, part int, words binary").repartition(n, "part")  # by number: encoding is slow for its bytes, so partitions are not merged
     ids = word_ids(dealt, definition)
