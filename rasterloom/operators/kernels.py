@@ -453,7 +453,8 @@ def rotate(img: np.ndarray, degrees: float, fill: float = 255.0) -> np.ndarray:
     h, w = img.shape[:2]
     turn = np.deg2rad(degrees)
     yy, xx = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
-    return to_uint8(np.floor(_bilinear(img, yy * np.cos(turn) + xx * np.sin(turn) + (h - 1) / 2, xx * np.cos(turn) - yy * np.sin(turn) + (w - 1) / 2, fill) + 0.5))
+    out = _bilinear(img, yy * np.cos(turn) + xx * np.sin(turn) + (h - 1) / 2, xx * np.cos(turn) - yy * np.sin(turn) + (w - 1) / 2, fill)
+    return to_uint8(np.floor(np.round(out, 9) + 0.5))
 
 
 def _bilinear(img: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float | None) -> np.ndarray:

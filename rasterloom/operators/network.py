@@ -129,6 +129,12 @@ def from_tensors(held: dict[str, np.ndarray]) -> Weights:
     return {k: np.ascontiguousarray(w, dtype=np.float32) for k, w in weights.items()}
 
 
+def transposed(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Transposed 2 x 2 convolution with stride 2 of ``x(n, c, h, w)``: planes of double size."""
+    n, _, h, w = x.shape
+    return np.einsum("nchw,coij->nohiwj", x, weight, optimize=True).reshape(n, weight.shape[1], 2 * h, 2 * w) + bias[:, None, None]
+
+
 class _Tape:
     """Records, in order, how to carry gradients back."""
 
@@ -207,7 +213,7 @@ class _Tape:
         """Transposed convolution to double size, joined below the skip planes."""
         weight = self.weights[f"{name}.weight"]
         n, _, h, w = x.shape
-        grown = np.einsum("nchw,coij->nohiwj", x, weight, optimize=True).reshape(n, weight.shape[1], 2 * h, 2 * w) + self.weights[f"{name}.bias"][:, None, None]
+        grown = transposed(x, weight, self.weights[f"{name}.bias"])
         out = np.concatenate((skip, grown), axis=1).astype(np.float32)
 
         def back() -> None:

@@ -58,6 +58,13 @@ def ink_coverage(pixels: DataFrame, threshold: int = 128) -> DataFrame:
     return pixels.groupBy("img").agg((F.lit(100.0) * F.count_if(F.col("v") < threshold) / F.count("*")).alias("pct"))
 
 
+def pixel_counts(pixels: DataFrame, lines: DataFrame, threshold: int = 128) -> DataFrame:
+    """``(img, ink, paper, grid)``: pixels below and from the threshold on, and pixels of ``lines(img, y, x)``."""
+    dark = F.col("v") < threshold
+    own = pixels.groupBy("img").agg(F.count_if(dark).alias("ink"), F.count_if(~dark).alias("paper"))
+    return own.join(lines.groupBy("img").agg(F.count("*").alias("grid")), "img", "left").select("img", "ink", "paper", F.coalesce("grid", F.lit(0)).alias("grid"))
+
+
 def by_kernel(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: str = "v int", value: str = "v", level: str = "uint8") -> DataFrame:
     """``kernel`` over each whole image of ``pixels(img, y, x, value)``: one exchange by image, one array per group.
 

@@ -238,14 +238,18 @@ def stain(img: np.ndarray, strength: float, color: list[int], blobs: list[list[f
         u, v = (xx - cx) * np.cos(turn) + (yy - cy) * np.sin(turn), (yy - cy) * np.cos(turn) - (xx - cx) * np.sin(turn)
         mask[(u / ax) ** 2 + (v / ay) ** 2 <= 1] = 1
     part = _soft(mask, max(3, (min(h, w) // 4) | 1), 0.0, strength) if strength > 0 else None
-    return img.copy() if part is None else kernels.to_uint8(img * (1 - part[..., None] * (1 - np.array(color) / 255)))
+    return img.copy() if part is None else kernels.to_uint8(np.round(img * (1 - part[..., None] * (1 - np.array(color) / 255)), 9))
 
 
 def bleed(img: np.ndarray, strength: float, sigma: float, strokes: list[dict]) -> np.ndarray:
     """Strokes of the reverse side, mirrored, blurred and faint."""
-    back = draw(np.full_like(img, 255), strokes)[:, ::-1]
-    part = _soft(1 - kernels.gray(back) / 255, max(3, int(6 * sigma) | 1), sigma, strength) if strength > 0 else None
-    return img.copy() if part is None else kernels.to_uint8(img * (1 - part[..., None]))
+    return ghost(img, draw(np.full_like(img, 255), strokes), strength, sigma)
+
+
+def ghost(img: np.ndarray, reverse: np.ndarray, strength: float, sigma: float) -> np.ndarray:
+    """The reverse side, as it looks from there, shining through."""
+    part = _soft(1 - kernels.gray(reverse[:, ::-1]) / 255, max(3, int(6 * sigma) | 1), sigma, strength) if strength > 0 else None
+    return img.copy() if part is None else kernels.to_uint8(np.round(img * (1 - part[..., None]), 9))
 
 
 def _background(tile: np.ndarray, size: int, scale: float, at: list[float], turns: int, flip: bool, **_: object) -> np.ndarray:

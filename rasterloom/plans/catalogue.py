@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rasterloom.functions import point
-from rasterloom.operators import inference, kernels, network, pixels
+from rasterloom.operators import inference, kernels, network, pixels, synthesis
 from rasterloom.plans import pages, rasters
+from rasterloom.sources import images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,17 +134,19 @@ def _field(d: DataFrame, expr: str) -> DataFrame:
     own = d.withColumn("f", F.round(F.expr(expr), 6))
     whole = Window.partitionBy("img")
     low, high = F.min("f").over(whole), F.max("f").over(whole)
-    return own.select("img", "y", "x", point.gain(F.col("v"), F.round(0.5 + 0.5 * (F.col("f") - low) / (high - low), 6)).alias("v"))
+    scaled = F.when(high - low < 1e-6, 1.0).otherwise((F.col("f") - low) / (high - low))  # a flat field is bright everywhere
+    return own.select("img", "y", "x", point.gain(F.col("v"), F.round(0.5 + 0.5 * scaled, 6)).alias("v"))
 
 
 def _field_sql(expr: str) -> str:
-    gain = "round(0.5::DOUBLE + 0.5::DOUBLE * (f - min(f) OVER w) / (max(f) OVER w - min(f) OVER w), 6)"
+    gain = "round(0.5::DOUBLE + 0.5::DOUBLE * CASE WHEN max(f) OVER w - min(f) OVER w < 0.000001 THEN 1 ELSE (f - min(f) OVER w) / (max(f) OVER w - min(f) OVER w) END, 6)"
     return f"f AS (SELECT *, round({expr}, 6) AS f FROM r3) SELECT img, y, x, " + _LEVEL.format(f"v * {gain}") + " AS v FROM f WINDOW w AS (PARTITION BY img)"
 
 
 add("linear_illumination", "r3", lambda d: _field(d, "x * cos(0.7D) + y * sin(0.7D)"), _field_sql("x * cos(0.7::DOUBLE) + y * sin(0.7::DOUBLE)"))
 add("corner_illumination", "r3", lambda d: _field(d, "sqrt(y * y + x * x)"), _field_sql("sqrt(y * y + x * x)"))
 add("radial_illumination", "r3", lambda d: _field(d, "-sqrt((y - 20D) * (y - 20D) + (x - 40D) * (x - 40D))"), _field_sql("-sqrt((y - 20.0::DOUBLE) * (y - 20) + (x - 40.0::DOUBLE) * (x - 40))"))
+add("flat_illumination", "r3", lambda d: _field(d, "0.25D"), _field_sql("0.25::DOUBLE"))
 
 # Neighbourhoods
 
@@ -628,7 +631,8 @@ add_table(
 add_table(
     "parameter_count",
     lambda spark, _: spark.createDataFrame([(k, w.size) for k, w in network.initial().items()], "name string, size long").where(~F.col("name").rlike(r"\.(mean|var)$")).agg(F.sum("size").alias("parameters")),
-    "SELECT 482449::BIGINT AS parameters",
+    "WITH w AS (SELECT i, c FROM (VALUES (0, 1), (1, 16), (2, 32), (3, 64), (4, 128)) t(i, c)), b AS (SELECT p.c AS a, w.c AS b FROM w JOIN w p ON p.i = w.i - 1 UNION ALL SELECT 2 * p.c, p.c FROM w JOIN w p ON p.i = w.i - 1 WHERE p.i > 0), "
+    "n AS (SELECT 9 * a * b + 9 * b * b + 4 * b AS n FROM b UNION ALL SELECT 4 * w.c * p.c + p.c FROM w JOIN w p ON p.i = w.i - 1 WHERE p.i > 0 UNION ALL SELECT c + 1 FROM w WHERE i = 1) SELECT CAST(sum(n) AS BIGINT) AS parameters FROM n",
 )
 add(
     "contact_sheet",
@@ -637,4 +641,105 @@ add(
     "SELECT img, CAST(img // 6 * 8 + y AS INT) AS y, CAST(img % 6 * 8 + x AS INT) AS x, v FROM r1",
 )
 
+# Degradations, sampling, upward convolution
+
+
+def _weights_sql(name: str, kernel: np.ndarray) -> str:
+    return "(VALUES " + ", ".join(f"({i - len(kernel) // 2}, {float(k)!r}::DOUBLE)" for i, k in enumerate(kernel)) + f") AS {name}(d, k)"
+
+
+def _soft_sql(kernel: np.ndarray, strength: float) -> str:
+    """Tables ``h`` and ``s`` after ``m(img, y, x, u)``: u blurred, scaled to its maximum per image and to ``strength`` as ``part``."""
+    w = _weights_sql("w", kernel)
+    return (
+        f"h AS MATERIALIZED (SELECT a.img, a.y, a.x, sum(q.u * k) AS u FROM m a, {w}, m q WHERE q.img = a.img AND q.y = a.y AND q.x = {_MIRROR.format('a.x + w.d')} GROUP BY 1, 2, 3), "
+        f"g AS (SELECT a.img, a.y, a.x, sum(q.u * k) AS u FROM h a, {w}, h q WHERE q.img = a.img AND q.x = a.x AND q.y = {_MIRROR.format('a.y + w.d')} GROUP BY 1, 2, 3), "
+        f"s AS (SELECT img, y, x, u / max(u) OVER (PARTITION BY img) * {strength}::DOUBLE AS part FROM g)"
+    )
+
+
+_BLOB = [20.0, 30.0, 12.0, 8.0, 0.4]
+_COS, _SIN = (repr(float(f(0.4))) + "::DOUBLE" for f in (np.cos, np.sin))
+add(
+    "stain",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: synthesis.stain(images.three(img), 0.5, [180, 210, 235], [_BLOB])[..., 0]),
+    f"m AS (SELECT img, y, x, CAST((((x - 20) * {_COS} + (y - 30) * {_SIN}) / 12) ** 2 + (((y - 30) * {_COS} - (x - 20) * {_SIN}) / 8) ** 2 <= 1 AS INT) AS u FROM r3), "
+    + _soft_sql(kernels.gaussian_kernel(17), 0.5) + " SELECT r3.img, r3.y, r3.x, " + _LEVEL.format("round(v * (1 - part * (1 - 180 / 255.0::DOUBLE)), 9)") + " AS v FROM r3 JOIN s ON s.img = r3.img AND s.y = r3.y AND s.x = r3.x",
+)
+
+
+def _bleed(d: DataFrame) -> DataFrame:
+    """Each page with the one that follows on its reverse, two planes to a kernel."""
+    both = _next(d).select("img", "y", F.explode(F.array(F.struct("x", F.col("a").alias("v")), F.struct((F.col("x") + 64).alias("x"), F.col("b").alias("v")))).alias("p")).select("img", "y", "p.x", "p.v")
+    return pixels.by_kernel(both, lambda img: synthesis.ghost(images.three(img[:, :64]), images.three(img[:, 64:]), 0.2, 1.5)[..., 0])
+
+
+add(
+    "bleed_through",
+    "r3",
+    _bleed,
+    _NEXT.format("r3") + ", m AS (SELECT img, y, 63 - x AS x, 1 - b / 255.0::DOUBLE AS u FROM n), " + _soft_sql(kernels.gaussian_kernel(9, 1.5), 0.2)
+    + " SELECT n.img, n.y, n.x, " + _LEVEL.format("round(a * (1 - part), 9)") + " AS v FROM n JOIN s ON s.img = n.img AND s.y = n.y AND s.x = n.x",
+)
+_TURN = [repr(float(f(np.deg2rad(3.0)))) + "::DOUBLE" for f in (np.cos, np.sin)]
+_FOUR = (
+    "t AS (SELECT img, y, x, CAST(floor(sy) AS INT) + j AS ty, CAST(floor(sx) AS INT) + i AS tx, abs(1 - j - (sy - floor(sy))) * abs(1 - i - (sx - floor(sx))) AS k FROM d, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(j, i)) "
+    "SELECT t.img, t.y, t.x, CAST(floor(round(sum(k * {0}), 9) + 0.5) AS INT) AS v FROM t LEFT JOIN r3 ON r3.img = t.img AND r3.y = {1} AND r3.x = {2} GROUP BY 1, 2, 3"
+)
+add(
+    "rotate_bilinear",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: kernels.rotate(img, 3.0)),
+    "d AS (SELECT img, y, x, (y - 31.5::DOUBLE) * {0} + (x - 31.5::DOUBLE) * {1} + 31.5 AS sy, (x - 31.5::DOUBLE) * {0} - (y - 31.5::DOUBLE) * {1} + 31.5 AS sx FROM r3), ".format(*_TURN) + _FOUR.format("coalesce(v, 255)", "ty", "tx"),
+)
+_SIXES = "g AS (SELECT DISTINCT img FROM r3), p AS (SELECT CAST(n AS INT) AS n, {} AS at FROM range(96) r(n)), "
+add(
+    "resize_linear",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: kernels.resize(img, 96, 96, "linear")),
+    _SIXES.format("least(greatest((n + 0.5::DOUBLE) * 2 / 3 - 0.5, 0), 63)") + "d AS (SELECT img, a.n AS y, b.n AS x, a.at AS sy, b.at AS sx FROM g, p a, p b), " + _FOUR.format("v", "least(ty, 63)", "least(tx, 63)"),
+)
+add(
+    "resize_nearest",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: kernels.resize(img, 96, 96, "nearest")),
+    "SELECT img, CAST(j AS INT) AS y, CAST(i AS INT) AS x, v FROM r3 JOIN range(96) a(j) ON y = j * 2 // 3 JOIN range(96) b(i) ON x = i * 2 // 3",
+)
+_CUBIC = "CASE WHEN d <= 1 THEN 1.25 * d ** 3 - 2.25 * d ** 2 + 1 WHEN d < 2 THEN -0.75 * d ** 3 + 3.75 * d ** 2 - 6 * d + 3 ELSE 0 END"
+add(
+    "resize_cubic",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: kernels.resize(img, 96, 96, "cubic")),
+    "p AS (SELECT CAST(n AS INT) AS n, (n + 0.5::DOUBLE) * 2 / 3 - 0.5 AS place FROM range(96) r(n)), o AS (SELECT n, CAST(floor(place) AS INT) + j AS tap, abs(place - floor(place) - j) AS d FROM p, range(-1, 3) q(j)), "
+    f"k AS (SELECT n, least(greatest(tap, 0), 63) AS tap, {_CUBIC} AS k FROM o), h AS MATERIALIZED (SELECT img, n AS y, x, sum(v * k) AS u FROM r3 JOIN k ON tap = y GROUP BY 1, 2, 3) "
+    "SELECT img, y, x, " + _LEVEL.format("floor(round(u, 9) + 0.5)") + " AS v FROM (SELECT img, y, n AS x, sum(u * k) AS u FROM h JOIN k ON tap = x GROUP BY 1, 2, 3)",
+)
+_UP = np.array([[1.0, 2.0], [3.0, 4.0]]).reshape(1, 1, 2, 2)
+add(
+    "transposed_conv2",
+    "r3",
+    lambda d: pixels.by_kernel(d, lambda img: network.transposed(img[None, None].astype(np.float64), _UP, np.array([3.0]))[0, 0]),
+    "SELECT img, y * 2 + j AS y, x * 2 + i AS x, v * k + 3 AS v FROM r3, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4)) AS o(j, i, k)",
+)
+add("rgb_swap", "r2", lambda d: d.select("img", "y", "x", F.col("r").alias("b"), "g", F.col("b").alias("r")), "SELECT img, y, x, r AS b, g, b AS r FROM r2")
+add("gray_to_bgr", "r1", lambda d: d.select("img", "y", "x", *(F.col("v").alias(c) for c in "bgr")), "SELECT img, y, x, v AS b, v AS g, v AS r FROM r1")
+add(
+    "pixel_counts",
+    "r3",
+    lambda d: pixels.pixel_counts(d, pixels.long_line_pixels(_ink(d), 4)),
+    f"l AS (SELECT r3.img, y, x FROM r3 JOIN {_RUN.format('x', 'y')} q ON q.img = r3.img AND q.line = y AND x BETWEEN a AND z UNION SELECT r3.img, y, x FROM r3 JOIN {_RUN.format('y', 'x')} q ON q.img = r3.img AND q.line = x AND y BETWEEN a AND z), "
+    + "c AS (SELECT img, count(*) AS grid FROM l GROUP BY 1) SELECT r3.img, count(*) FILTER (v < 128) AS ink, count(*) FILTER (v >= 128) AS paper, coalesce(any_value(grid), 0) AS grid FROM r3 LEFT JOIN c ON c.img = r3.img GROUP BY 1",
+)
+add_table(
+    "epoch_loss",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 200").alias("epoch"), F.expr("event_id div 8").alias("batch")).agg(F.avg("value").alias("loss")).groupBy("epoch").agg(F.round(F.sum("loss") / F.greatest(F.count("*"), F.lit(1)), 6).alias("loss")),
+    "SELECT epoch, round(avg(loss), 6) AS loss FROM (SELECT event_id // 200 AS epoch, event_id // 8 AS batch, avg(value) AS loss FROM events GROUP BY 1, 2) GROUP BY 1",
+)
+add_table(
+    "hash_compare",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("said", F.when(F.col("page_id") % 3 == 0, F.upper(F.sha2("html", 256))).otherwise(F.sha2("url", 256))).select("page_id", images.same_digest(F.sha2("html", 256), F.col("said")).alias("valid")),
+    "SELECT page_id, coalesce(page_id % 3 = 0 AND html IS NOT NULL OR sha256(html) = sha256(url), false) AS valid FROM pages",
+)
+
 QUERIES |= pages.QUERIES

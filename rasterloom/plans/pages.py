@@ -37,7 +37,7 @@ def digitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(img):  # noqa: ANN001, ANN202
         return kernels.digitize(img, block=9, grid_kernel=24, noise_small=3, noise_medium=12, noise_radius=3)[0]
 
-    wide = images.map_images(images.map_images(_mosaics(spark, sf_dir), _doubled), images._three)
+    wide = images.map_images(images.map_images(_mosaics(spark, sf_dir), _doubled), images.three)
     return _digest(images.map_images(wide, kernel))
 
 

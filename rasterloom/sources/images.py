@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
@@ -99,10 +99,10 @@ def scan(spark: SparkSession, path: str, strict: bool = True, color: bool = True
     if strict:
         bad = F.raise_error(F.concat(F.lit("no such image: "), "path")).cast("int")
         cols = cols.withColumn("height", F.when(F.col("height") < 0, bad).otherwise(F.col("height")))
-    return map_images(cols, _three if color else _one)
+    return map_images(cols, three if color else _one)
 
 
-def _three(img: np.ndarray) -> np.ndarray:
+def three(img: np.ndarray) -> np.ndarray:
     return np.repeat(img[..., None], 3, axis=2) if img.ndim == 2 else img
 
 
@@ -197,7 +197,12 @@ def integrity(spark: SparkSession, path: str, size: int | None, digest: str) ->
     files = spark.read.format("binaryFile").load(path)
     fits = F.lit(True) if size is None else F.col("length") == size
     sha = F.when(fits, F.sha2("content", 256))
-    return files.select("path", "length", sha.alias("sha256"), F.coalesce(sha == digest.lower(), F.lit(False)).alias("valid"))
+    return files.select("path", "length", sha.alias("sha256"), same_digest(sha, F.lit(digest)).alias("valid"))
+
+
+def same_digest(found: Column, said: Column) -> Column:
+    """Whether two hex digests are the same in either case; false for null."""
+    return F.coalesce(F.lower(found) == F.lower(said), F.lit(False))
 
 
 def fetch(url: str, path: str, size: int | None, digest: str) -> bool:
