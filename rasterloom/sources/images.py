@@ -48,8 +48,21 @@ def encode_bmp(img: np.ndarray) -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+def encode_tiff(img: np.ndarray) -> bytes:
+    """Uncompressed TIFF of a gray or BGR image of uint8, in one strip."""
+    body = img if img.ndim == 2 else img[..., ::-1]
+    h, w, n = *body.shape[:2], 1 if img.ndim == 2 else 3
+    size = h * w * n
+    at = 8 + size + size % 2  # three widths of samples, then the directory
+    short, long = 3, 4
+    bits = (258, short, n, at) if n == 3 else (258, short, 1, 8)
+    fields = [(256, long, 1, w), (257, long, 1, h), bits, (259, short, 1, 1), (262, short, 1, 2 if n == 3 else 1), (273, long, 1, 8), (277, short, 1, n), (278, long, 1, h), (279, long, 1, size)]
+    listed = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + struct.pack("<I", 0)
+    return struct.pack("<2sHI", b"II", 42, at + 6) + np.ascontiguousarray(body).tobytes() + bytes(size % 2) + struct.pack("<3H", 8, 8, 8) + listed
+
+
 #: Encoders by extension; a name with another one is an error.
-ENCODERS = {"png": encode_png, "bmp": encode_bmp}
+ENCODERS = {"png": encode_png, "bmp": encode_bmp, "tif": encode_tiff, "tiff": encode_tiff}
 
 
 def encode(name: str, img: np.ndarray) -> bytes:

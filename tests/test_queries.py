@@ -135,9 +135,14 @@ def test_report_has_its_columns(spark, tmp_path):
 
 def test_encoders_by_extension(spark, tmp_path):
     img = np.random.default_rng(5).integers(0, 256, (5, 7, 3)).astype(np.uint8)
-    (tmp_path / "a.bmp").write_bytes(images.encode("a.BMP", img))
+    for name in ("a.BMP", "b.tif", "c.TIFF"):
+        (tmp_path / name).write_bytes(images.encode(name, img))
     (tmp_path / "note.txt").write_text("no image")
-    assert (images.unpack(images.scan(spark, str(tmp_path), extensions=images.EXTENSIONS).first().asDict()) == img).all()
+    rows = images.scan(spark, str(tmp_path), extensions=images.EXTENSIONS).collect()
+    assert len(rows) == 3 and all((images.unpack(r.asDict()) == img).all() for r in rows)
+    (tmp_path / "gray").mkdir()
+    (tmp_path / "gray" / "d.tiff").write_bytes(images.encode("d.tiff", img[..., 0]))
+    assert (images.unpack(images.scan(spark, str(tmp_path / "gray"), color=False).first().asDict()) == img[..., 0]).all()
     with pytest.raises(ValueError, match="no encoder"):
         images.encode("a.gif", img)
 
